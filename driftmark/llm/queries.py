@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import language, media, packing, quality, sharding, tokens
+from driftmark.llm import embeddings, language, media, neardup, packing, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,18 @@ def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.encode(table(spark, sf_dir, "documents")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -63,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_counts,
         op3_packing,
         op4_media_tiff,
+        op5_near_duplicates,
         op6_sharding,
+        op7_embeddings,
         op9_language,
     )
 }
