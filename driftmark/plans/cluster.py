@@ -51,23 +51,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 256) -> DataFrame:
-    """Add `name`: a gapless rank from 0 inside each group, with no group in one task.
+def running(df: DataFrame, group: list[str], order: list[str], weight: str, name: str, buckets: int = 256) -> DataFrame:
+    """Add `name`: the sum of `weight` over the rows before each row of its group, with no group in one task.
 
     Rows of a group are dealt into hash buckets of their order columns; each bucket is
-    numbered alone, and the buckets' counts (buckets x groups rows, never the rows
-    themselves) give where each starts. The rank depends on values only, so a task that
-    runs again gives the same numbers. Rows equal in all order columns get any of their ranks.
+    summed alone, and the buckets' sums (buckets x groups rows, never the rows themselves)
+    give where each starts. The order inside a group is by bucket, then by the order
+    columns: a fixed shuffle that depends on values only, so a task that runs again gives
+    the same numbers. Rows equal in all order columns get any of their places.
     """
     b, n, start = "__dm_bucket", "__dm_n", "__dm_start"
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
+    sums = dealt.groupBy(*group, b).agg(F.sum(weight).alias(n))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
-    inside = Window.partitionBy(*group, b).orderBy(*order)
+    starts = sums.select(*group, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(*group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        dealt.withColumn(n, F.row_number().over(inside))
+        dealt.withColumn(n, F.sum(weight).over(inside) - F.col(weight))
         .join(starts, [*group, b])
-        .withColumn(name, (F.col(start) + F.col(n) - 1).cast("long"))
+        .withColumn(name, (F.col(start) + F.col(n)).cast("long"))
         .drop(b, n, start)
     )
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """Add `name`: a gapless rank from 0 inside each group, as `running` gives it for a weight of 1."""
+    one = "__dm_one"
+    return running(df.withColumn(one, F.lit(1)), group, order, one, name, buckets).drop(one)
