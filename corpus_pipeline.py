@@ -1,16 +1,67 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read as the next one's input.
+
+Quality and language are learnt from the tables of sf_dir and applied to all that the stage
+before kept; near-duplicates, mixture and packing are worked out on their own input.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from driftmark.llm import language, mixing, neardup, packing, quality
+from driftmark.llm.queries import fold, table, vocabulary
+from driftmark.plans.cluster import shared_folder
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    trees = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return quality.accepted(docs, trees)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus is known to have."""
+    filters = language.fit(table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2)
+    return language.identified(docs, filters)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, similarity of 0.8 or more."""
+    return neardup.deduplicated(docs, words=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought closer together by repeating documents of small ones, none more than half again on average."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Trees, Bloom filters, MinHash and tokens are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages applied to documents, each written to the shared folder before the next."""
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = f"{folder}/{i}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
