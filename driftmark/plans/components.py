@@ -29,27 +29,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row["n"], row["x"]
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every id has one parent at most and no parent has one: then b is a's component."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the least id reachable.
 
     The rounds grow with the logarithm of the longest path. Self-loops and repeated or
-    null edges do no harm; ids in no edge are not returned.
+    null edges do no harm; ids in no edge but a self-loop are not returned.
     """
-    edges = edges.where("a is not null and b is not null")
-    loops = edges.where("a = b").select("a", "b")
-    now = cut(edges.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
-    state = _state(now)
-    while state[0]:
+    edges = edges.where("a is not null and b is not null and a != b")
+    now = cut(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
+    while not _is_settled(now):
         now = cut(_small_star(_large_star(now)).distinct())
-        state, before = _state(now), state
-        if state == before:
-            break
     found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    roots = found.select(F.col("component").alias("id"), "component").unionByName(loops.select(F.col("a").alias("id"), F.col("a").alias("component")))
-    alone = roots.distinct().join(found.select("id"), "id", "left_anti")
-    return found.unionByName(alone)
+    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
