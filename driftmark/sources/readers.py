@@ -17,7 +17,8 @@ def is_fraud(label: Column) -> Column:
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(ref_id, f0..f13, fraud) of a JSON array of {vector, label}, plain or gzipped.
 
-    Vectors that are null or not of 14 numbers are left out; ref_id follows the order in
+    Names of fields are matched exactly, others are skipped. Vectors that are null or not of
+    14 numbers are left out; ref_id follows the order in
     the file. A JSON array is one task to read: write it to Parquet once and read that.
     """
     rows = spark.read.schema(REFERENCE).option("multiLine", True).json(path)

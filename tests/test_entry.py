@@ -1,0 +1,48 @@
+"""The driver's contract, and that the corpus operators can be taken away."""
+
+import os
+import shutil
+import subprocess
+import sys
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+def test_registry():
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert set(oracles) <= set(queries) and len(oracles) >= 40
+
+
+def _plain(rows, names):
+    order = sorted(range(len(names)), key=names.__getitem__)
+    one = lambda v: repr(round(v, 9)) if isinstance(v, float) else str(v)
+    return sorted([one(r[i]) for i in order] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["vectorize_fast", "knn_partition_m2", "ivf_search_np1_cap64", "score_json", "detection_score", "score_exact"])
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES.split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    wanted = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in wanted.description]
+    got = entry.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert _plain([tuple(r) for r in got.collect()], got.columns) == _plain(wanted.fetchall(), names)
+
+
+def test_without_the_corpus_operators(tmp_path):
+    where = tmp_path / "repo"
+    shutil.copytree(ROOT, where, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    shutil.rmtree(where / "driftmark" / "llm", ignore_errors=True)
+    if (where / "corpus_pipeline.py").exists():
+        os.remove(where / "corpus_pipeline.py")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=where, check=True, env={**os.environ, "PYTHONPATH": str(where)})
