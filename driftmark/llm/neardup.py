@@ -7,8 +7,8 @@ how many samples differ, and so how similar the sets are. Candidates are pairs t
 bucket; those whose sketches make the threshold implausible are dropped, the rest are
 confirmed on the full sets, as whole numbers.
 
-Buckets are never expanded into all pairs. First every class is held against the most
-central class (the one in the largest buckets) of each of its buckets, of which it keeps the
+Buckets are never expanded into all pairs. First every class is held against the leader
+(the class of most copies, then of least id) of each of its buckets, of which it keeps the
 best by sketch; confirmed links give groups. Then only buckets that still hold several
 groups are looked at, and there only pairs across groups of which one side is not in the
 bucket's main group. All such pairs are confirmed, so groups are those of the links between
@@ -40,7 +40,7 @@ BANDS, ROWS = 25, 5
 SKETCH_WORDS = 8
 #: How far below the threshold a sketch's estimate may lie: 6 standard deviations at 0.8.
 MARGIN = 0.25
-MEMO = 400_000
+MEMO = 200_000
 
 
 @lru_cache(1)
@@ -156,44 +156,43 @@ def _differing(a: str, b: str):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union.
+
+    Each pair meets the two texts by their ids, a join that adaptive execution can split
+    where many pairs have one id, and then its two sets by the pair.
+    """
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("__dm_id"))
 
     def sets(batches):
         for batch in batches:
-            found = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "found"])
+            found = [shingles(t, words).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["a", "b", "id", "found"])
 
-    # an id that several rows have stands for the text of one of them: the ids were taken from distinct ones
-    needed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(cut(ids), "id")
-    found = needed.mapInArrow(sets, "id long, found binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__dm_id"), "text").where("__dm_id is not null")
+    met = texts.join(sides, "__dm_id").select("a", "b", "__dm_id", "text")
+    # an id of several rows stands for the least of their sets
+    each = met.mapInArrow(sets, "a long, b long, id long, found binary").groupBy("a", "b")
+    both = each.agg(*(F.min(F.when(F.col("id") == F.col(c), F.col("found"))).alias(n) for c, n in (("a", "x"), ("b", "y"))))
 
     def held(batches):
         for batch in batches:
             kept = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= percent * (len(x) + len(y) - both))
+                x, y = np.frombuffer(x or b"", np.uint64), np.frombuffer(y or b"", np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    joined = pairs.join(found.select(F.col("id").alias("b"), F.col("found").alias("y")), "b").join(found.select(F.col("id").alias("a"), F.col("found").alias("x")), "a")
-    return cut(joined.select("a", "b", "x", "y").mapInArrow(held, "a long, b long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(held, "a long, b long"))
 
 
-def _candidates(classes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets of several classes with their bucket's leader, and each class's best leader."""
-    dealt = classes.select("rep", "sketch", F.posexplode("buckets").alias("band", "bucket"))
-    sizes = cut(dealt.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = cut(dealt.join(sizes, ["band", "bucket"]))
-    central = cut(members.groupBy("rep").agg(F.sum("n").alias("central")))
-    leaders = members.join(central, "rep").groupBy("band", "bucket").agg(F.max(F.struct("central", (-F.col("rep")).alias("least"), F.col("sketch").alias("lead_sketch"))).alias("lead"))
-    lead = cut(leaders.select("band", "bucket", (-F.col("lead.least")).alias("leader"), "lead.lead_sketch"))
-    members = members.join(lead, ["band", "bucket"])
-    near = members.where((F.col("rep") != F.col("leader")) & (_differing("sketch", "lead_sketch") <= limit))
-    best = near.groupBy("rep").agg(F.min(F.struct(_differing("sketch", "lead_sketch").alias("d"), "leader")).alias("best"))
-    return members, best.select(F.col("rep").alias("a"), F.col("best.leader").alias("b"))
+def _members(classes: DataFrame) -> DataFrame:
+    """A row for each class in each bucket that holds several: its sketch, the bucket's leader, and the bits by which the two sketches differ."""
+    dealt = classes.select("rep", "copies", "sketch", F.posexplode("buckets").alias("band", "bucket"))
+    first = F.max(F.struct("copies", (-F.col("rep")).alias("least"), F.col("sketch").alias("lead_sketch")))
+    leads = cut(dealt.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("lead")).where("n > 1").select("band", "bucket", (-F.col("lead.least")).alias("leader"), "lead.lead_sketch"))
+    members = dealt.join(leads, ["band", "bucket"]).withColumn("differing", _differing("sketch", "lead_sketch"))
+    return cut(members.select("band", "bucket", "rep", "sketch", "leader", "differing"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -206,24 +205,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     limit = most_differing(percent / 100 - MARGIN)
     described = cut(_described(docs, words))
     named = described.where(F.col("key").isNotNull() & F.col("id").isNotNull())
-    classes = cut(named.groupBy("key").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
-    members, best = _candidates(classes, limit)
-    links = confirm(best, docs, words, percent)
-    first = cut(components(links))
-    grouped = cut(
-        members.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-    )
-    # buckets that hold one group alone are done with
-    several = cut(grouped.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band", "bucket"))
-    open_members = cut(grouped.join(several, ["band", "bucket"]).select("band", "bucket", "rep", "sketch", "component", "leader"))
-    main = open_members.where("rep = leader").select("band", "bucket", F.col("component").alias("main"))
-    outside = cut(open_members.join(main, ["band", "bucket"]).where("component != main").select("band", "bucket", F.col("rep").alias("a"), F.col("sketch").alias("a_sketch"), F.col("component").alias("a_component"), "main"))
-    across = open_members.select("band", "bucket", F.col("rep").alias("b"), F.col("sketch").alias("b_sketch"), "component").join(outside, ["band", "bucket"])
-    # a pair of two outsiders comes from the larger id alone
-    across = across.where((F.col("component") != F.col("a_component")) & ((F.col("component") == F.col("main")) | (F.col("a") > F.col("b"))) & (_differing("a_sketch", "b_sketch") <= limit))
-    more = confirm(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), docs, words, percent)
-    groups = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    classes = cut(named.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
+    members = _members(classes)
+    near = members.where((F.col("rep") != F.col("leader")) & (F.col("differing") <= limit))
+    best = near.groupBy("rep").agg(F.min(F.struct("differing", "leader")).alias("best"))
+    groups = components(confirm(best.select(F.col("rep").alias("a"), F.col("best.leader").alias("b")), docs, words, percent))
+    outside, across = _across(members, cut(groups), limit)
+    # what is left: pairs across groups in the buckets that hold several
+    if not outside.isEmpty():
+        more = confirm(across, docs, words, percent)
+        if not more.isEmpty():
+            groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     told = cut(classes.select("key", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return described.select("id", "n_shingles", "key").join(told, "key", "left").select(
@@ -231,6 +223,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
+def _across(members: DataFrame, groups: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Members outside their bucket's main group, which is its leader's, and the pairs they may be linked by."""
+    known = lambda c, name: groups.select(F.col("id").alias(c), F.col("component").alias(name))
+    grouped = members.join(known("rep", "own"), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+    grouped = cut(grouped.join(known("leader", "main"), "leader", "left").withColumn("main", F.coalesce("main", "leader")).select("band", "bucket", "rep", "sketch", "own", "main"))
+    outside = cut(grouped.where("own != main").select("band", "bucket", F.col("rep").alias("a"), F.col("sketch").alias("a_sketch"), F.col("own").alias("a_own")))
+    pairs = grouped.withColumnRenamed("rep", "b").join(outside, ["band", "bucket"])
+    # of two outsiders the larger id alone asks
+    pairs = pairs.where((F.col("own") != F.col("a_own")) & ((F.col("own") == F.col("main")) | (F.col("a") > F.col("b"))) & (_differing("a_sketch", "sketch") <= limit))
+    return outside, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, unchanged, of one document of each group; rows of a null id all stay.
 
