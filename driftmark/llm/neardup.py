@@ -10,9 +10,9 @@ confirmed on the full sets, as whole numbers.
 Buckets are never expanded into all pairs. First every class is held against the leader
 (the class of most copies, then of least id) of each of its buckets, of which it keeps the
 best by sketch; confirmed links give groups. Then only buckets that still hold several
-groups are looked at, and there only pairs across groups of which one side is not in the
-bucket's main group. All such pairs are confirmed, so groups are those of the links between
-all classes that share a bucket. Two sets of similarity 0.8 share one with probability
+groups are looked at, and there only classes outside the bucket's main group are held
+against its members, on full sets and in blocks. So groups are those of the links between
+all classes that share a bucket, while no step gives a row for each pair. Two sets of similarity 0.8 share one with probability
 0.99995 (25 bands of 5).
 
 Defined results: text without words, or null -> empty set, linked with nothing; fewer words
@@ -28,6 +28,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ SKETCH_WORDS = 8
 #: How far below the threshold a sketch's estimate may lie: 6 standard deviations at 0.8.
 MARGIN = 0.25
 MEMO = 200_000
+#: Outsiders and members of a block, on average, and the shingles that it looks at at once.
+OUTSIDERS, MEMBERS, COLUMNS = 64, 96, 16_384
 
 
 @lru_cache(1)
@@ -210,12 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = members.where((F.col("rep") != F.col("leader")) & (F.col("differing") <= limit))
     best = near.groupBy("rep").agg(F.min(F.struct("differing", "leader")).alias("best"))
     groups = components(confirm(best.select(F.col("rep").alias("a"), F.col("best.leader").alias("b")), docs, words, percent))
-    outside, across = _across(members, cut(groups), limit)
-    # what is left: pairs across groups in the buckets that hold several
-    if not outside.isEmpty():
-        more = confirm(across, docs, words, percent)
-        if not more.isEmpty():
-            groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    more = _across(members, cut(groups), docs, words, percent)
+    if more is not None:
+        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     told = cut(classes.select("key", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return described.select("id", "n_shingles", "key").join(told, "key", "left").select(
@@ -223,16 +223,69 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _across(members: DataFrame, groups: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Members outside their bucket's main group, which is its leader's, and the pairs they may be linked by."""
+def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) across groups of classes that share a bucket; None if all buckets hold one group.
+
+    A bucket's main group is its leader's. The outsiders of a main group (members of its
+    buckets that are in another group) are held against all members of those buckets on
+    their full sets, in blocks of about OUTSIDERS x MEMBERS, so that a block has few rows
+    and gives one row at most for an outsider and a group.
+    """
     known = lambda c, name: groups.select(F.col("id").alias(c), F.col("component").alias(name))
     grouped = members.join(known("rep", "own"), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
-    grouped = cut(grouped.join(known("leader", "main"), "leader", "left").withColumn("main", F.coalesce("main", "leader")).select("band", "bucket", "rep", "sketch", "own", "main"))
-    outside = cut(grouped.where("own != main").select("band", "bucket", F.col("rep").alias("a"), F.col("sketch").alias("a_sketch"), F.col("own").alias("a_own")))
-    pairs = grouped.withColumnRenamed("rep", "b").join(outside, ["band", "bucket"])
-    # of two outsiders the larger id alone asks
-    pairs = pairs.where((F.col("own") != F.col("a_own")) & ((F.col("own") == F.col("main")) | (F.col("a") > F.col("b"))) & (_differing("a_sketch", "sketch") <= limit))
-    return outside, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    grouped = cut(grouped.join(known("leader", "main"), "leader", "left").select("band", "bucket", "rep", "own", F.coalesce("main", "leader").alias("main")))
+    several = cut(grouped.where("own != main").select("band", "bucket").distinct())
+    if several.isEmpty():
+        return None
+    held = cut(grouped.join(several, ["band", "bucket"]).select("main", "rep", "own").distinct())
+    sizes = cut(held.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("ms"), F.ceil(F.count_if(F.col("own") != F.col("main")) / OUTSIDERS).alias("os")))
+    sized = held.join(sizes, "main")
+    place = lambda seed, many: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(many))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+    rows = sized.select("main", "rep", "own", place("m", "ms").alias("m"), every("os").alias("o"), F.lit(False).alias("asks"))
+    rows = rows.unionByName(sized.where("own != main").select("main", "rep", "own", place("o", "os").alias("o"), every("ms").alias("m"), F.lit(True).alias("asks")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__dm_id"), "text").where("__dm_id is not null")
+    met = texts.join(rows.withColumnRenamed("rep", "__dm_id"), "__dm_id").select("main", "o", "m", "__dm_id", "own", "asks", "text")
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingles(t, words).tobytes() for t in batch.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found, pa.binary())], ["main", "o", "m", "id", "own", "asks", "found"])
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["asks", "id"], kind="stable").drop_duplicates(["asks", "id"])
+        asking, other = rows[rows["asks"]], rows[~rows["asks"]]
+        x, y = ([np.frombuffer(f, np.uint64) for f in part["found"]] for part in (asking, other))
+        common, a, b = common_counts(x, y), np.array([len(v) for v in x]), np.array([len(v) for v in y])
+        hit = (common > 0) & (100 * common >= percent * (a[:, None] + b[None, :] - common))
+        hit &= asking["own"].to_numpy()[:, None] != other["own"].to_numpy()[None, :]
+        i, j = np.nonzero(hit)
+        out = pd.DataFrame({"a": asking["id"].to_numpy()[i], "b": other["id"].to_numpy()[j], "own": other["own"].to_numpy()[j]})
+        return out.drop_duplicates(["a", "own"])[["a", "b"]]
+
+    kinds = "main long, o long, m long, id long, own long, asks boolean, found binary"
+    return cut(met.mapInArrow(sets, kinds).groupBy("main", "o", "m").applyInPandas(linked, "a long, b long"))
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by products of 0/1 matrices of bounded width."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not x or not y:
+        return out
+    every = np.unique(np.concatenate(x))
+    every = every[np.isin(every, np.unique(np.concatenate(y)), assume_unique=True)]
+    for at in range(0, len(every), COLUMNS):
+        part = every[at : at + COLUMNS]
+        seen = []
+        for sets in (x, y):
+            table = np.zeros((len(sets), len(part)), np.float32)
+            for row, found in zip(table, sets, strict=True):
+                low, high = np.searchsorted(found, part[0]), np.searchsorted(found, part[-1], "right")
+                place = np.searchsorted(part, found[low:high])
+                row[place[part[place] == found[low:high]]] = 1
+            seen.append(table)
+        out += np.rint(seen[0] @ seen[1].T).astype(np.int64)
+    return out
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
