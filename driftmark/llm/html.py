@@ -4,8 +4,8 @@ A page's tokens are the opening and closing tags of its structural elements, eac
 apart by its path, and its text runs. Tokens of a host with the same occurrence vector (how
 often each page has them) form an equivalence class. A class is valid for an element if it
 holds its opening and its closing tag: the element is then whole on every page, and such
-elements, nested by their paths, are the host's template. Text runs that occur on nearly all
-pages of a host are template text. What is left are the slots, named by the template
+elements, nested by their paths, are the host's template. Blocks made of text runs that occur on
+nearly all pages of a host are template text, unless an element names them as the article's. What is left are the slots, named by the template
 elements around them; slots of menus, adverts and the like are recognised by those
 elements, and of the others those inside the article are the main text, or, where no
 element says so, those that aren't mostly links.
@@ -161,8 +161,8 @@ def is_main(names: list[str]) -> bool:
     return any((parts := n.split("."))[0] in MAIN or parts[0] not in ("html", "body") and MAIN_WORDS & set(parts[1:]) for n in names)
 
 
-def chosen(paths: list[tuple[str, int, int, bool]]) -> list[str]:
-    """Of the paths of a host (path, code points of text, those in links, whether the element is valid) those of main text."""
+def chosen(paths: list[tuple[str, int, int, bool]]) -> tuple[list[str], bool]:
+    """Of the paths of a host (path, code points of text, those in links, whether the element is valid) those of main text, and whether elements name them so."""
     valid = {p for p, _, _, ok in paths if ok}
     # an element that some page leaves open still says what it is for
     slots = defaultdict(list)
@@ -170,9 +170,10 @@ def chosen(paths: list[tuple[str, int, int, bool]]) -> list[str]:
         if text and not is_apart(p.split("/")[1:]):
             slots[tuple(slot(p, valid))].append((p, text, links))
     main = {s for s in slots if is_main(list(s))} or {s for s in slots if any(is_main(p.split("/")[1:]) for p, _, _ in slots[s])}
-    if not main:
+    named = bool(main)
+    if not named:
         main = {s for s, all_ in slots.items() if 2 * sum(x for _, _, x in all_) < sum(x for _, x, _ in all_)}
-    return [p for s in main for p, _, _ in slots[s]]
+    return [p for s in main for p, _, _ in slots[s]], named
 
 
 def _summaries(pages: DataFrame) -> DataFrame:
@@ -230,8 +231,10 @@ def _templates(rows: pd.DataFrame) -> pd.DataFrame:
             classes[kind][v].add(path)
     valid = {p for v, opened in classes["open"].items() for p in opened & classes["close"].get(v, set())}
     opened = rows[rows["kind"] == "open"]
-    keep = chosen([(p, int(t), int(x), p in valid) for p, t, x in zip(opened["path"], opened["text"], opened["links"], strict=True)])
+    keep, named = chosen([(p, int(t), int(x), p in valid) for p, t, x in zip(opened["path"], opened["text"], opened["links"], strict=True)])
     runs = rows[(rows["kind"] == "run") & (rows["pages"] >= max(CONSTANT_PAGES, CONSTANT_PART * pages))]["run"]
+    if named:
+        runs = runs[:0]  # what pages repeat inside an article is theirs
     packed = lambda x: np.array(sorted(x), "<i8").tobytes()
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "keep": [packed(hashed("path", p) for p in keep)], "constant": [packed(map(int, runs))]})
 
@@ -248,9 +251,10 @@ def main_text(page: str | None, keep: frozenset[int], constant: frozenset[int])
                 blocks[-1].append((run, bool(constant) and hashed("run", path, told(run)) in constant))
         elif blocks[-1]:
             blocks.append([])
-    own = [[r for r, fixed in b if not fixed] for b in blocks]
-    texts = [told("".join(b)) for b in own] if any(told("".join(b)) for b in own) else [told("".join(r for r, _ in b)) for b in blocks]
-    return "\n".join(t for t in texts if t)
+    # a block is template text as a whole or not at all
+    texts = [(told("".join(r for r, _ in b)), all(fixed for _, fixed in b)) for b in blocks]
+    own = [t for t, fixed in texts if t and not fixed]
+    return "\n".join(own or [t for t, _ in texts if t])
 
 
 def extract(pages: DataFrame) -> DataFrame:
