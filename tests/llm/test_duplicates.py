@@ -1,0 +1,157 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from driftmark.llm import embeddings, neardup
+
+
+def brute_groups(sets, percent=80):
+    """Least id reachable by links, by comparing all pairs."""
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    items = sorted(sets.items())
+    for n, (i, a) in enumerate(items):
+        for j, b in items[:n]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i in sets}
+
+
+def shingle_set(text, words):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not found:
+        return set()
+    size = min(words, len(found))
+    return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)}
+
+
+def corpus(seed=5, bases=12, copies=14):
+    """Texts with copies edited at rates that put similarities on both sides of the threshold, and a shared passage."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = rng.choices(vocabulary, k=25)
+    out = []
+    for _ in range(bases):
+        base = rng.choices(vocabulary, k=rng.randint(30, 120)) + passage
+        for c in range(copies):
+            words = list(base)
+            for _ in range(rng.randint(0, 1 + c // 2)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            out.append(" ".join(words).upper() if c % 5 == 0 else " ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_groups_equal_brute_force(spark, make_docs, odd_texts, words):
+    texts = corpus() + odd_texts
+    rows = neardup.near_duplicates(make_docs(texts), words=words).collect()
+    got = {r["doc_id"]: r for r in rows}
+    sets = {i: shingle_set(t, words) for i, t in enumerate(texts)}
+    wanted = brute_groups(sets)
+    assert len(rows) == len(texts)
+    assert {i: got[i]["n_shingles"] for i in got} == {i: len(s) for i, s in sets.items()}
+    assert {i: got[i]["component_id"] for i in got} == wanted
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+
+
+def test_a_chain_is_one_group(spark, make_docs):
+    words = [f"x{i}" for i in range(140)]
+    texts = [" ".join(words[i * 4 : i * 4 + 60]) for i in range(20)]
+    sets = {i: shingle_set(t, 2) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make_docs(texts), words=2).collect()}
+    assert got == brute_groups(sets) and set(got.values()) == {0}
+
+
+def test_deduplicated_rows(spark, make_docs):
+    texts = ["a b c d e f g h", "a b c d e f g h", "other text that stays as it is", None, "", "A B C D E F G H", "null id"]
+    docs = make_docs(texts, ids=[5, 2, 3, 4, 6, 7, None])
+    again = docs.unionByName(docs.where("doc_id = 3"))
+    kept = neardup.deduplicated(again)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, 2, 3, 4, 6]
+    assert neardup.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_sketches_estimate_high_similarities():
+    rng = np.random.default_rng(1)
+    for similarity in (0.7, 0.8, 0.9, 0.97):
+        errors = []
+        for _ in range(60):
+            n = 1000
+            shared = int(round(2 * n * similarity / (1 + similarity)))
+            pool = rng.integers(0, 2**63, 2 * n - shared).astype(np.uint64)
+            a, b = (neardup.odd_sketch(neardup.samples(x)) for x in (pool[:n], pool[n - shared :]))
+            bits = sum(int(x).bit_count() for x in a ^ b)
+            errors.append(neardup.similarity(bits) - similarity)
+        assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.07
+    assert neardup.similarity(neardup.most_differing(0.55)) >= 0.55 > neardup.similarity(neardup.most_differing(0.55) + 1)
+
+
+def vectors_around(rng, many, width, spread):
+    centre = rng.normal(size=width)
+    return [centre + rng.normal(size=width) * spread for _ in range(many)]
+
+
+def test_embedding_links_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [list(v) for v in rng.normal(size=(300, 24))]
+    for spread in (0.1, 0.2, 0.3, 0.35):
+        rows += [list(v) for v in vectors_around(rng, 40, 24, spread)]
+    rows += [rows[0]] * 30 + [[2 * x for x in rows[1]]]  # copies, and the same direction
+    rows = [[float(x) for x in r] for r in rows]
+    odd = [None, [], [0.0] * 24, [float("nan")] + [1.0] * 23, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23, [1.0, 2.0], [2.0, 4.0], [1e300] * 24, [1e-300] * 24]
+    table = rows + odd
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(table)] + [(None, rows[0], 2)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embeddings.link(df).collect()}
+    assert len(got) == len(table) + 1
+    good = {i: np.array(v) for i, v in enumerate(table) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    unit = {i: (v / abs(v).max()) / np.linalg.norm(v / abs(v).max()) for i, v in good.items()}
+    links, sets = {i: set() for i in range(len(table))}, {}
+    for i in good:
+        for j in good:
+            if i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9:
+                links[i].add(j)
+    component = {i: i for i in range(len(table))}
+    changed = True
+    while changed:
+        changed = False
+        for i, others in links.items():
+            low = min([component[i], *(component[j] for j in others)])
+            if low != component[i]:
+                component[i], changed = low, True
+    assert {i: got[i]["n_links"] for i in links} == {i: len(s) for i, s in links.items()}
+    assert {i: got[i]["component_id"] for i in links} == component
+    assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, False)
+    assert not sets and embeddings.link(df.limit(0)).count() == 0
+
+
+def test_pivot_recall():
+    """Of pairs at the threshold itself nearly all share a pivot, whatever the table's size."""
+    rng = np.random.default_rng(3)
+    for n in (1_000, 50_000):
+        pivots = embeddings.choose_pivots(rng.normal(size=(2000, 64)), int(6 * n**0.5))
+        x = rng.normal(size=(4000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        o = rng.normal(size=x.shape)
+        o -= (o * x).sum(1, keepdims=True) * x
+        y = 0.9 * x + (1 - 0.81) ** 0.5 * o / np.linalg.norm(o, axis=1, keepdims=True)
+        a, b = (embeddings.prefixes(z, pivots, embeddings.PREFIX) for z in (x, y))
+        shared = (a[:, :, None] == b[:, None, :]).any(2).sum(1)
+        assert (shared >= embeddings.LEAST_SHARED).mean() > 0.998
+
+
+def test_blocks_of_a_common_vector(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [[float(x) for x in v] for v in vectors_around(rng, 150, 16, 0.02)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    got = embeddings.link(df).collect()
+    assert {r["n_links"] for r in got} == {149} and {r["component_id"] for r in got} == {0}

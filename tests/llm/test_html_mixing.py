@@ -1,0 +1,114 @@
+import math
+from collections import defaultdict
+
+from driftmark.llm import html, mixing
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p><b>';</script></head><body class='article post'>"
+    "<header><h1>Site</h1></header><nav><ul><li><a href='/a'>Menu</a></ul></nav><!-- <p>no</p> --><div class=\"ad\">Buy {n} now</div>"
+    "<article><h1>Title {n} &amp; more</h1><p>First  para&#233;\n of {n}<p>Second <b>bold</b><i>x</i> &lt;tag&gt; of {n}<br>after {n}<br></p>"
+    "<div class='comments'><p>Reader {n} says</p></div><form><input value='x'>Send {n}</form></article>"
+    "<aside>Side {n}</aside><footer>&copy; all {n}</footer></body></html>"
+)
+
+
+def _pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, keep string")
+
+
+def _rows(pages, first=0):
+    return [(first + i, u, h, "x", "y", "z") for i, (u, h) in enumerate(pages)]
+
+
+def _wanted(n):
+    return f"Title {n} & more\nFirst paraé of {n}\nSecond boldx <tag> of {n}\nafter {n}"
+
+
+def test_main_text(spark):
+    pages = [(f"https://Host.example/{n}", PAGE.format(n=n)) for n in range(12)] + [("https://lonely.example/", PAGE.format(n=99))]
+    got = {r["page_id"]: r for r in html.extract(_pages(spark, _rows(pages))).collect()}
+    for i in range(12):
+        assert got[i]["text"] == _wanted(i) and got[i]["n_chars"] == len(_wanted(i))
+    assert got[12]["text"] == _wanted(99)
+
+
+def test_pages_without_an_article(spark):
+    page = "<body><div id=top><a href=1>One</a> <a href=2>Two</a></div><div id=body><p>Real text number {n} is here, and long enough.</p><p>Same words on each page.</p></div></body>"
+    got = html.extract(_pages(spark, _rows([("http://plain.example/x", page.format(n=n)) for n in range(8)]))).collect()
+    assert sorted(r["text"] for r in got) == [f"Real text number {n} is here, and long enough." for n in range(8)]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    got = html.extract(_pages(spark, _rows([("http://copies.example/x", PAGE.format(n=1))] * 9))).collect()
+    assert {r["text"] for r in got} == {_wanted(1)} and len(got) == 9
+
+
+def test_odd_pages(spark):
+    long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
+    pages = [
+        (None, None), ("http://a.example", ""), ("not a url", "plain text only"), ("http://[bad", "<article>broken <p>markup <b"),
+        ("http://b.example", "<script>never closed <p>x"), ("http://c.example", long), ("http://d.example", "<article><p>a &amp b &nbsp; &am</p></p></div></article></article>"),
+        ("http://e.example", "<article>a < b and c > d</article>"), ("http://f.example", "<" * 3000 + "&" * 3000), ("http://g.example", "<article><p title='a>b'>quoted</p></article>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html.extract(_pages(spark, _rows(pages))).collect()}
+    assert got[0] == got[1] == got[4] == ""
+    assert got[2] == "plain text only" and got[3].split() == ["broken", "markup"]
+    assert got[5] == "\n".join(["word word"] * 20_000)
+    assert got[6] == "a & b &am" and got[7] == "a < b and c > d" and got[9] == "quoted"
+    assert html.extract(_pages(spark, _rows([])) if False else _pages(spark, _rows(pages)).limit(0)).count() == 0
+
+
+def test_weights_and_exponent():
+    tokens = {"a": 1000, "b": 100, "c": 10, "none": 0}
+    assert all(abs(v - 1 / 3) < 1e-12 for v in mixing.weights(tokens, 0).values())
+    assert abs(mixing.weights(tokens, 1)["a"] - 1000 / 1110) < 1e-12
+    e = mixing.solve(tokens, limit=3.0)
+    assert abs(max(mixing.repetitions(tokens, e).values()) - 3.0) < 1e-6 and min(mixing.repetitions(tokens, e).values()) == 1.0
+    target = 0.9
+    e = mixing.solve(tokens, limit=None, target_entropy=target)
+    assert abs(mixing.entropy(mixing.weights(tokens, e)) - target) < 1e-6
+    assert mixing.solve(tokens, limit=None, target_entropy=9.9) == 0.0
+    assert mixing.solve({}, limit=2.0) == 0.0
+
+
+def test_mix_equals_a_plain_mixture(spark, make_docs):
+    texts = ["w " * (1 + i % 13) for i in range(300)] + [None, ""]
+    sources = ["big" if i % 3 else "mid" if i % 2 else "small" if i % 30 else None for i in range(300)] + ["none", "none"]
+    docs = make_docs(texts, sources=sources)
+    rows = mixing.mix(docs, limit=2.0).collect()
+    tokens = defaultdict(int)
+    for t, s in zip(texts, sources, strict=True):
+        tokens[s] += len((t or "").split())
+    times = mixing.repetitions(tokens, mixing.solve(tokens, 2.0))
+    held = defaultdict(list)
+    for r in rows:
+        held[r["source"]].append(r)
+    for s, found in held.items():
+        own = sorted((r["position"], r["n_tokens"]) for r in found)
+        at = 0
+        if tokens[s]:
+            for position, n in own:  # read one after the other, pass after pass
+                assert position == at or n == 0
+                at = max(at, position + n)
+            budget = tokens[s] * times[s]
+            assert budget - 1 <= at <= budget + 13
+        first = [r["doc_id"] for r in found if r["epoch"] == 0]
+        assert sorted(first) == [i for i, x in enumerate(sources) if x == s]  # each once in the first pass
+        assert max(r["epoch"] for r in found) <= 1
+    assert abs(sum({r["source"]: r["weight"] for r in rows}.values()) - 1) < 1e-9
+    again = {(r["doc_id"], r["epoch"], r["position"]) for r in mixing.mix(docs.repartition(7), limit=2.0).collect()}
+    assert again == {(r["doc_id"], r["epoch"], r["position"]) for r in rows}
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixed_rows(spark, make_docs):
+    texts = [f"text number {i}" for i in range(200)]
+    docs = make_docs([*texts, "x"], sources=["big" if i % 4 else "small" for i in range(200)] + ["big"], ids=[*range(200), None])
+    out = mixing.mixed(docs, limit=1.5)
+    rows = out.collect()
+    assert out.columns == docs.columns and {r["doc_id"] for r in rows} == {*range(200), None}
+    counts = defaultdict(int)
+    for r in rows:
+        counts[r["doc_id"]] += 1
+    assert all(counts[i] == 1 for i in range(200) if i % 4) and counts[None] == 1
+    assert math.isclose(sum(counts[i] for i in range(0, 200, 4)), 75, abs_tol=2)
