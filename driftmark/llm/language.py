@@ -17,6 +17,7 @@ labelled row at all -> `und` everywhere; repeated rows each get a row; empty tab
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,8 @@ HASHES = 3
 SLOT_BITS = 18
 #: A language has a gram if its share there is at least this part of the gram's largest share.
 LEAST_PART = 0.1
-CHUNK = 1 << 20
+#: Code points whose grams are held at once.
+CHUNK = 1 << 18
 
 
 @lru_cache(1)
@@ -70,6 +72,30 @@ def grams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of at most CHUNK code points, or single longer texts."""
+    part, chars = [], 0
+    for t in texts:
+        if part and chars + len(t or "") > CHUNK:
+            yield part
+            part, chars = [], 0
+        part.append(t)
+        chars += len(t or "")
+    if part:
+        yield part
+
+
+def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the distinct grams of texts and how often they occur."""
+    out = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in ORDERS]
+    for part in chunks(texts):
+        for i, (h, _) in enumerate(grams(part)):
+            new, n = np.unique(h, return_counts=True)
+            every, at = np.unique(np.concatenate([out[i][0], new]), return_inverse=True)
+            out[i] = every, np.bincount(at, np.concatenate([out[i][1], n]), len(every)).astype(np.int64)
+    return out
+
+
 class Filters:
     """The filters of up to 64 languages."""
 
@@ -92,8 +118,9 @@ class Filters:
         if len(languages) > 64:
             raise ValueError("one table holds at most 64 languages")
         slots = np.zeros(1 << SLOT_BITS, np.uint64)
+        grams_of = [counted(samples[x]) for x in languages]
         for order in range(len(ORDERS)):
-            found = [np.unique(grams(samples[x])[order][0], return_counts=True) for x in languages]
+            found = [g[order] for g in grams_of]
             every = np.unique(np.concatenate([h for h, _ in found])) if found else np.empty(0, np.uint64)
             share = np.zeros((len(languages), len(every)))
             count = np.zeros((len(languages), len(every)), np.int64)
@@ -125,23 +152,18 @@ class Filters:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text, its grams taken in chunks of bounded size."""
-        names, scores = [], np.zeros(len(texts))
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHUNK):
-                chars += len(texts[end] or "")
-                end += 1
-            part = self.shares(texts[at:end]) if self.languages else np.empty((end - at, 0))
-            for i, row in enumerate(part):
-                if not len(row) or row[0] < 0:
+        names, scores = [], []
+        for chunk in chunks(texts):
+            part = self.shares(chunk) if self.languages else np.full((len(chunk), 1), -1.0)
+            for row in part:
+                if row[0] < 0:
                     names.append(UNKNOWN)
+                    scores.append(0.0)
                     continue
                 best = int(row.argmax()) if row.max() > 0 else self.fallback
                 names.append(self.languages[best])
-                scores[at + i] = row[best]
-            at = end
-        return names, scores
+                scores.append(float(row[best]))
+        return names, np.array(scores)
 
 
 def fit(docs: DataFrame, training: Column, per_language: int = 1000, sample_chars: int = 20_000) -> Filters:
