@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 #: Pieces longer than this go to the library, whose merge loop keeps a heap.
 LONG_PIECE = 512
 #: Entries a process remembers before it starts afresh.
-MEMO = 600_000
+MEMO = 400_000
 #: Code points that the class table covers.
 COVERED = 0x250
 
