@@ -190,12 +190,20 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """A row for each class in each bucket that holds several: its sketch, the bucket's leader, and the bits by which the two sketches differ."""
-    dealt = classes.select("rep", "copies", "sketch", F.posexplode("buckets").alias("band", "bucket"))
-    first = F.max(F.struct("copies", (-F.col("rep")).alias("least"), F.col("sketch").alias("lead_sketch")))
-    leads = cut(dealt.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("lead")).where("n > 1").select("band", "bucket", (-F.col("lead.least")).alias("leader"), "lead.lead_sketch"))
-    members = dealt.join(leads, ["band", "bucket"]).withColumn("differing", _differing("sketch", "lead_sketch"))
-    return cut(members.select("band", "bucket", "rep", "sketch", "leader", "differing"))
+    """(band, bucket, rep, leader): each class in each bucket that holds several, and the bucket's leader."""
+    dealt = classes.select("rep", "copies", F.posexplode("buckets").alias("band", "bucket"))
+    first = F.max(F.struct("copies", (-F.col("rep")).alias("least")))
+    leads = cut(dealt.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("lead")).where("n > 1").select("band", "bucket", (-F.col("lead.least")).alias("leader")))
+    return cut(dealt.join(leads, ["band", "bucket"]).select("band", "bucket", "rep", "leader"))
+
+
+def _best(members: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """(a, b): each class and the leader of one of its buckets whose sketch differs least, if by `limit` bits at most."""
+    sketch = lambda c, name: classes.select(F.col("rep").alias(c), F.col("sketch").alias(name))
+    met = members.where("rep != leader").select("rep", "leader").distinct().join(sketch("rep", "x"), "rep").join(sketch("leader", "y"), "leader")
+    near = met.select("rep", "leader", _differing("x", "y").alias("differing")).where(F.col("differing") <= limit)
+    best = near.groupBy("rep").agg(F.min(F.struct("differing", "leader")).alias("best"))
+    return best.select(F.col("rep").alias("a"), F.col("best.leader").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -210,9 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = described.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = cut(named.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
     members = _members(classes)
-    near = members.where((F.col("rep") != F.col("leader")) & (F.col("differing") <= limit))
-    best = near.groupBy("rep").agg(F.min(F.struct("differing", "leader")).alias("best"))
-    groups = components(confirm(best.select(F.col("rep").alias("a"), F.col("best.leader").alias("b")), docs, words, percent))
+    groups = components(confirm(_best(members, classes, limit), docs, words, percent))
     more = _across(members, cut(groups), docs, words, percent)
     if more is not None:
         groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
