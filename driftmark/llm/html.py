@@ -52,6 +52,8 @@ MAIN = {"article", "main"}
 MAIN_WORDS = {"article", "articlebody", "main", "maincontent", "post", "entry", "story"}
 #: Template text: on at least this part of a host's pages, and on so many pages.
 CONSTANT_PART, CONSTANT_PAGES = 0.9, 5
+#: Templates of all hosts together that are sent to every task.
+BROADCAST_BYTES = 8_000_000
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -276,5 +278,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h, unpacked(k), unpacked(c)) for h, k, c in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = hosted.join(templates, "host").select("page_id", "url", "html", "keep", "constant")
+    # pages are sent by host only where the templates are too large for every task
+    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length("keep") + F.octet_length("constant")).alias("n")).first()["n"] or 0
+    joined = hosted.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host").select("page_id", "url", "html", "keep", "constant")
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
