@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -77,7 +78,7 @@ def test_counts_of_other_vocabularies(spark, make_docs, odd_texts):
 @given(st.integers(1, 30_000), st.integers(1, 3000))
 def test_cuts(n, capacity):
     found = packing.cuts(n, capacity)
-    assert [a for a, _ in found] == [sum(k for _, k in found[:i]) for i in range(len(found))]
+    assert [a for a, _ in found] == list(accumulate((k for _, k in found[:-1]), initial=0))
     assert sum(k for _, k in found) == n
     assert all(k == capacity for _, k in found[1:]) and 0 < found[0][1] <= capacity
     assert len(found) == -(-n // capacity)
