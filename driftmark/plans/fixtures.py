@@ -62,8 +62,12 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_of(table: DataFrame) -> DataFrame:
-    """qid, label and the query's f and q columns: every 20th transaction under 4000."""
-    rows = table.where("tx_id % 20 = 0 and tx_id < 4000")
+    """The queries that the SQL fixes: every 20th transaction under 4000."""
+    return as_queries(table.where("tx_id % 20 = 0 and tx_id < 4000"))
+
+
+def as_queries(rows: DataFrame) -> DataFrame:
+    """qid, label and the query's f and q columns."""
     return rows.select(F.col("tx_id").alias("qid"), F.col("fraud").alias("label"), F.col("pk").alias("qpk"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(14)], *[F.col(f"v{i}").alias(f"q{i}") for i in range(14)])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions import features, quantize
 from driftmark.operators import evaluate, exact, ivf, lsh, partitioned, score
-from driftmark.operators.common import outcome
+from driftmark.operators.common import nearest, outcome
 from driftmark.plans import fixtures
 from driftmark.plans.cluster import shared_folder
 from driftmark.sources.readers import read_index, response
@@ -129,6 +129,30 @@ def score_exact(spark, sf_dir):
     return score.decide(outcome(queries, exact.knn(queries, references, K)))
 
 
+def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every transaction as a query, and its nearest others: all transactions but itself."""
+    table = fixtures.vector_table(spark, sf_dir)
+    queries, references = fixtures.as_queries(table), table.withColumnRenamed("tx_id", "ref_id")
+    # one more than K, as a transaction is among its own nearest
+    others = exact.knn(queries, references, K + 1).where("qid <> ref_id")
+    return queries, nearest(others, ["dist", "ref_id"], K)
+
+
+@query
+def score_all(spark, sf_dir):
+    """Every transaction's decision by exact search among all others."""
+    queries, found = _all(spark, sf_dir)
+    return score.decide(outcome(queries, found))
+
+
+@query
+def confusion_all(spark, sf_dir):
+    """The confusion counts of the decisions on all transactions."""
+    queries, found = _all(spark, sf_dir)
+    decided = score.decide(outcome(queries, found))
+    return evaluate.confusion(queries.select("qid", F.col("label").alias("fraud")).join(decided, "qid"))
+
+
 def _partition_search(name: str, search: Callable) -> None:
     def run(spark, sf_dir):
         queries, references, stats = _partitioned(spark, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftmark.operators import evaluate, exact, ivf, lsh, partitioned, score
 from driftmark.operators.common import outcome
 from driftmark.plans import fixtures
+from driftmark.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +122,15 @@ def test_scores(spark):
     p = spark.createDataFrame([(0.0,), (0.5,), (10.0,), (2001.0,)], "p double").select(evaluate.latency_score(F.col("p")).alias("s"))
     assert [round(r["s"], 6) for r in p.collect()] == [0.0, 3000.0, 2000.0, -3000.0]
     assert tuple(evaluate.detection(evaluate.confusion(spark.createDataFrame([], "fraud int, approved boolean"))).first())[5:] == (0, 0, 0.0, 0.0, 3000.0)
+
+
+def test_all_transactions_are_scored_among_all_others(spark):
+    rows = fixtures.vector_table(spark, SF).orderBy("tx_id").toPandas()
+    v, fraud = rows[[f"v{j}" for j in range(14)]].to_numpy(np.int64), rows["fraud"].to_numpy()
+    wanted, counts = {}, {"tp": 0, "tn": 0, "fp": 0, "fn": 0, "err": 0}
+    for i, tx in enumerate(rows["tx_id"]):
+        near = [n for n in np.argsort(((v - v[i]) ** 2).sum(1), kind="stable") if n != i][:5]
+        wanted[tx] = (fraud[near].sum(), 5, fraud[near].sum() < 3)
+        counts[("t" if wanted[tx][2] == (fraud[i] == 0) else "f") + ("n" if wanted[tx][2] else "p")] += 1
+    assert {r["qid"]: (r["frauds"], r["total"], r["approved"]) for r in QUERIES["score_all"](spark, SF).collect()} == wanted
+    assert QUERIES["confusion_all"](spark, SF).first().asDict() == counts
