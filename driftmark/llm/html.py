@@ -7,8 +7,9 @@ holds its opening and its closing tag: the element is then whole on every page,
 elements, nested by their paths, are the host's template. Blocks made of text runs that occur on
 nearly all pages of a host are template text, unless an element names them as the article's. What is left are the slots, named by the template
 elements around them; slots of menus, adverts and the like are recognised by those
-elements, and of the others those inside the article are the main text, or, where no
-element says so, those that aren't mostly links.
+elements, and of the others those inside the article are the main text. This is decided for
+each page: on those where no element says so, the main text is in the slots that aren't
+mostly links, and slots and template text are worked out from the host's pages of that kind.
 
 Occurrence vectors are kept as fingerprints (XOR of a mix of page and count, number of
 pages, total), which add up before any shuffle, so a host of any number of pages is never
@@ -163,37 +164,50 @@ def is_main(names: list[str]) -> bool:
     return any((parts := n.split("."))[0] in MAIN or parts[0] not in ("html", "body") and MAIN_WORDS & set(parts[1:]) for n in names)
 
 
-def chosen(paths: list[tuple[str, int, int, bool]]) -> tuple[list[str], bool]:
-    """Of the paths of a host (path, code points of text, those in links, whether the element is valid) those of main text, and whether elements name them so."""
+NAMED, PLAIN, SET_APART = "named", "plain", "apart"
+
+
+@lru_cache(100_000)
+def standing(path: str) -> str:
+    """What the names of the elements around a path make of its text; an element that some page leaves open still says what it is for."""
+    names = path.split("/")[1:]
+    return SET_APART if is_apart(names) else NAMED if is_main(names) else PLAIN
+
+
+def chosen(paths: list[tuple[str, int, int, bool]]) -> list[str]:
+    """Of the paths of a host (path, code points of text, those in links, whether the element is valid) the unnamed ones whose slot isn't mostly links."""
     valid = {p for p, _, _, ok in paths if ok}
-    # an element that some page leaves open still says what it is for
     slots = defaultdict(list)
     for p, text, links, _ in paths:
-        if text and not is_apart(p.split("/")[1:]):
+        if text and standing(p) == PLAIN:
             slots[tuple(slot(p, valid))].append((p, text, links))
-    main = {s for s in slots if is_main(list(s))} or {s for s in slots if any(is_main(p.split("/")[1:]) for p, _, _ in slots[s])}
-    named = bool(main)
-    if not named:
-        main = {s for s, all_ in slots.items() if 2 * sum(x for _, _, x in all_) < sum(x for _, x, _ in all_)}
-    return [p for s in main for p, _, _ in slots[s]], named
+    return [p for all_ in slots.values() if 2 * sum(x for _, _, x in all_) < sum(x for _, x, _ in all_) for p, _, _ in all_]
 
 
 def _summaries(pages: DataFrame) -> DataFrame:
-    """host, token, kind, path and the fingerprint of its occurrence vector; text and link sizes for paths."""
+    """host, token, kind, path and the fingerprint of its occurrence vector; text and link sizes for paths.
+
+    Pages, runs and sizes are those of pages on which no element names the main text.
+    """
 
     def counted(batches):
         for batch in batches:
             sums: dict[tuple, list] = {}
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name, tokens, sizes = host(url), defaultdict(int), defaultdict(lambda: [0, 0])
-                tokens["page", ""] += 1
+                name, tokens, runs, sizes = host(url), defaultdict(int), [], defaultdict(lambda: [0, 0])
                 for kind, path, run in walk(page or ""):
                     if kind in ("open", "close"):
                         tokens[kind, path] += 1
                     elif kind != "break" and (text := told(run)):
-                        tokens["run", hashed("run", path, text)] += 1
+                        runs.append((path, text))
                         sizes[path][0] += len(text)
                         sizes[path][1] += len(text) * (kind == "link")
+                if any(standing(path) == NAMED for path in sizes):
+                    sizes.clear()  # such a page says itself which text is main
+                else:
+                    tokens["page", ""] += 1
+                    for path, text in runs:
+                        tokens["run", hashed("run", path, text)] += 1
                 for path in sizes:
                     tokens["open", path] += 0
                 for (kind, token), n in tokens.items():
@@ -224,7 +238,7 @@ def _summaries(pages: DataFrame) -> DataFrame:
 
 
 def _templates(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row for a host: hashes of the paths of main text, and of template text."""
+    """One row for a host: hashes of the paths of main text, and of template text, for pages on which no element names it."""
     pages = int(rows.loc[rows["kind"] == "page", "pages"].sum())
     vector = list(zip(rows["print"], rows["pages"], rows["total"], strict=True))
     classes = {k: defaultdict(set) for k in ("open", "close")}
@@ -233,30 +247,32 @@ def _templates(rows: pd.DataFrame) -> pd.DataFrame:
             classes[kind][v].add(path)
     valid = {p for v, opened in classes["open"].items() for p in opened & classes["close"].get(v, set())}
     opened = rows[rows["kind"] == "open"]
-    keep, named = chosen([(p, int(t), int(x), p in valid) for p, t, x in zip(opened["path"], opened["text"], opened["links"], strict=True)])
+    keep = chosen([(p, int(t), int(x), p in valid) for p, t, x in zip(opened["path"], opened["text"], opened["links"], strict=True)])
     runs = rows[(rows["kind"] == "run") & (rows["pages"] >= max(CONSTANT_PAGES, CONSTANT_PART * pages))]["run"]
-    if named:
-        runs = runs[:0]  # what pages repeat inside an article is theirs
     packed = lambda x: np.array(sorted(x), "<i8").tobytes()
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "keep": [packed(hashed("path", p) for p in keep)], "constant": [packed(map(int, runs))]})
 
 
 def main_text(page: str | None, keep: frozenset[int], constant: frozenset[int]) -> str:
-    """The blocks of a page in the paths `keep`, without template text unless that leaves nothing."""
-    blocks: list[list[tuple[str, bool]]] = [[]]
-    paths: dict[str, bool] = {}
+    """The blocks of a page that elements name as its main text; if there are none, those in the paths `keep`, without template text unless that leaves nothing."""
+    blocks: list[tuple[str, list[str]]] = []  # a block has one path
+    begun = False
     for kind, path, run in walk(page or ""):
-        if kind in ("text", "link"):
-            if path not in paths:
-                paths[path] = hashed("path", path) in keep
-            if paths[path]:
-                blocks[-1].append((run, bool(constant) and hashed("run", path, told(run)) in constant))
-        elif blocks[-1]:
-            blocks.append([])
+        if kind not in ("text", "link"):
+            begun = False
+        elif standing(path) != SET_APART:
+            if not begun:
+                blocks.append((path, []))
+            begun = True
+            blocks[-1][1].append(run)
+    texts = [(path, runs, text) for path, runs in blocks if (text := told("".join(runs)))]
+    # what pages repeat inside an article is theirs
+    if named := [text for path, _, text in texts if standing(path) == NAMED]:
+        return "\n".join(named)
+    kept = [(path, runs, text) for path, runs, text in texts if hashed("path", path) in keep]
     # a block is template text as a whole or not at all
-    texts = [(told("".join(r for r, _ in b)), all(fixed for _, fixed in b)) for b in blocks]
-    own = [t for t, fixed in texts if t and not fixed]
-    return "\n".join(own or [t for t, _ in texts if t])
+    own = [text for path, runs, text in kept if not (constant and all(hashed("run", path, told(r)) in constant for r in runs))]
+    return "\n".join(own or [text for _, _, text in kept])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -38,6 +38,24 @@ def test_pages_without_an_article(spark):
     assert sorted(r["text"] for r in got) == [f"Real text number {n} is here, and long enough." for n in range(8)]
 
 
+def test_a_host_of_two_templates(spark):
+    links = "<div id=top><a href=1>One</a> <a href=2>Two</a></div>"
+    plain = links + "<div class=content><p>Unnamed page {n} has its own long text.</p><p>Same on each plain page.</p></div>"
+    bodies = {
+        "named": links + "<article><p>Named page {n} has its own long text.</p><p>Same on each named page.</p></article>",
+        "open": links + "<main><p>Open page {n} is never closed.",
+        "plain": plain, "teaser": links + "<div class=story><p>Teaser {n}</p></div>",
+    }
+    kinds = ["named"] * 8 + ["open"] + ["plain"] * 8 + ["teaser"]
+    pages = [("http://two.example/x", f"<html><body>{bodies[k].format(n=n)}</body></html>") for n, k in enumerate(kinds)]
+    got = {r["page_id"]: r["text"] for r in html.extract(_pages(spark, _rows(pages))).collect()}
+    for n, k in enumerate(kinds):
+        assert got[n] == {
+            "named": f"Named page {n} has its own long text.\nSame on each named page.", "open": f"Open page {n} is never closed.",
+            "plain": f"Unnamed page {n} has its own long text.", "teaser": f"Teaser {n}",
+        }[k]
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     got = html.extract(_pages(spark, _rows([("http://copies.example/x", PAGE.format(n=1))] * 9))).collect()
     assert {r["text"] for r in got} == {_wanted(1)} and len(got) == 9
