@@ -9,7 +9,7 @@ nearly all pages of a host are template text, unless an element names them as th
 elements around them; slots of menus, adverts and the like are recognised by those
 elements, and of the others those inside the article are the main text. This is decided for
 each page: on those where no element says so, the main text is in the slots that aren't
-mostly links, and slots and template text are worked out from the host's pages of that kind.
+mostly links (those set apart by a word only if there is no other text), and slots and template text are worked out from the host's pages of that kind.
 
 Occurrence vectors are kept as fingerprints (XOR of a mix of page and count, number of
 pages, total), which add up before any shuffle, so a host of any number of pages is never
@@ -47,8 +47,10 @@ WALLS = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body",
 #: Block elements whose start ends an open paragraph.
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 #: Elements, and words of class, id and role, that mark what isn't main text.
-APART = {"head", "title", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
+APART = {"head", "title", "nav", "footer", "aside", "button", "select", "dialog", "menu"}
 APART_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "cookie", "cookies", "consent", "dialog", "disclaimer", "discussion", "disqus", "feedback", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+#: What a word made of several may have besides those; any other part (has-sidebar, comments-open) makes it say something else.
+BOX_WORDS = {"0", "site", "page", "post", "posts", "entry", "article", "articles", "main", "list", "area", "section", "box", "block", "form", "links", "buttons", "bar"}
 MAIN = {"article", "main"}
 MAIN_WORDS = {"article", "articlebody", "main", "maincontent", "post", "entry", "story"}
 #: Template text: on at least this part of a host's pages, and on so many pages.
@@ -62,9 +64,9 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']
 
 @lru_cache(100_000)
 def element(tag: str, attributes: str) -> str:
-    """Name of an element: its tag and the words of its class, id and role, digits made alike."""
-    found = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w}
-    return ".".join([tag, *sorted({re.sub(r"\d+", "0", w) for w in found})])
+    """Name of an element: its tag and the words of its class, id and role, each whole, digits made alike."""
+    found = {re.sub(r"[^a-z0-9]+", "-", w).strip("-") for m in ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()}
+    return ".".join([tag, *sorted({re.sub(r"\d+", "0", w) for w in found if w})])
 
 
 def walk(page: str):
@@ -149,38 +151,49 @@ def slot(path: str, valid: set[str]) -> list[str]:
     return [p for i, p in enumerate(parts) if "/" + "/".join(parts[: i + 1]) in valid]
 
 
-def is_apart(names: list[str]) -> bool:
-    """Whether elements, outermost first, mark what isn't main text; a header counts outside an article."""
-    inside = False
-    for name in names:
-        tag, *words = name.split(".")
-        if tag in APART or tag not in ("html", "body") and APART_WORDS & set(words) or tag == "header" and not inside:
-            return True
-        inside |= tag in MAIN
-    return False
+def is_apart(word: str) -> bool:
+    parts = set(word.split("-"))
+    return bool(parts & APART_WORDS) and parts <= APART_WORDS | BOX_WORDS
 
 
-def is_main(names: list[str]) -> bool:
-    return any((parts := n.split("."))[0] in MAIN or parts[0] not in ("html", "body") and MAIN_WORDS & set(parts[1:]) for n in names)
+def is_main(word: str) -> bool:
+    return not MAIN_WORDS.isdisjoint(word.split("-")) and not is_apart(word)
 
 
-NAMED, PLAIN, SET_APART = "named", "plain", "apart"
+NAMED, RESCUED, PLAIN, ASIDE, SET_APART = "named", "rescued", "plain", "aside", "apart"
 
 
 @lru_cache(100_000)
 def standing(path: str) -> str:
-    """What the names of the elements around a path make of its text; an element that some page leaves open still says what it is for."""
-    names = path.split("/")[1:]
-    return SET_APART if is_apart(names) else NAMED if is_main(names) else PLAIN
+    """What the names of the elements around a path make of its text; an element that some page leaves open still says what it is for.
+
+    NAMED as main text; RESCUED: so named, but inside or beside a word of what isn't; PLAIN:
+    not named; ASIDE: set apart by a word or a form; SET_APART: by a tag. An article's or main's
+    own words count for nothing, those inside it for what they enclose, and a header outside it sets apart.
+    """
+    inside = named = rescued = aside = False
+    for name in path.split("/")[1:]:
+        tag, *words = name.split(".")
+        if tag in APART or tag == "header" and not inside:
+            return SET_APART
+        if tag in ("html", "body"):
+            continue
+        apart = tag not in MAIN and (tag == "form" or any(map(is_apart, words)))
+        if tag in MAIN or any(map(is_main, words)):
+            named, rescued, aside = True, rescued or aside or apart, False
+        else:
+            aside |= apart
+        inside |= tag in MAIN
+    return ASIDE if aside else RESCUED if rescued else NAMED if named else PLAIN
 
 
 def chosen(paths: list[tuple[str, int, int, bool]]) -> list[str]:
-    """Of the paths of a host (path, code points of text, those in links, whether the element is valid) the unnamed ones whose slot isn't mostly links."""
+    """Of the paths of a host (path, code points of text, those in links, whether the element is valid) those not named as main text whose slot isn't mostly links."""
     valid = {p for p, _, _, ok in paths if ok}
     slots = defaultdict(list)
     for p, text, links, _ in paths:
-        if text and standing(p) == PLAIN:
-            slots[tuple(slot(p, valid))].append((p, text, links))
+        if text and standing(p) in (PLAIN, ASIDE):
+            slots[standing(p), tuple(slot(p, valid))].append((p, text, links))
     return [p for all_ in slots.values() if 2 * sum(x for _, _, x in all_) < sum(x for _, x, _ in all_) for p, _, _ in all_]
 
 
@@ -254,7 +267,12 @@ def _templates(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def main_text(page: str | None, keep: frozenset[int], constant: frozenset[int]) -> str:
-    """The blocks of a page that elements name as its main text; if there are none, those in the paths `keep`, without template text unless that leaves nothing."""
+    """The blocks of a page that elements name as its main text.
+
+    If there are none, the longer of those rescued and those of plain paths in `keep`; if these
+    leave nothing, those set apart by words in `keep`. Of paths in `keep`, template text is
+    left out unless that leaves nothing.
+    """
     blocks: list[tuple[str, list[str]]] = []  # a block has one path
     begun = False
     for kind, path, run in walk(page or ""):
@@ -269,10 +287,14 @@ def main_text(page: str | None, keep: frozenset[int], constant: frozenset[int])
     # what pages repeat inside an article is theirs
     if named := [text for path, _, text in texts if standing(path) == NAMED]:
         return "\n".join(named)
-    kept = [(path, runs, text) for path, runs, text in texts if hashed("path", path) in keep]
-    # a block is template text as a whole or not at all
-    own = [text for path, runs, text in kept if not (constant and all(hashed("run", path, told(r)) in constant for r in runs))]
-    return "\n".join(own or [text for _, _, text in kept])
+    rescued = "\n".join(text for path, _, text in texts if standing(path) == RESCUED)
+    for kind in (PLAIN, ASIDE):
+        kept = [(path, runs, text) for path, runs, text in texts if standing(path) == kind and hashed("path", path) in keep]
+        # a block is template text as a whole or not at all
+        own = "\n".join(text for path, runs, text in kept if not (constant and all(hashed("run", path, told(r)) in constant for r in runs)))
+        if found := max(rescued, own, key=len) or "\n".join(text for _, _, text in kept):
+            return found
+    return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

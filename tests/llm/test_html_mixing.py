@@ -56,6 +56,20 @@ def test_a_host_of_two_templates(spark):
         }[k]
 
 
+def test_words_of_an_article_and_its_wrappers_don_t_lose_it(spark):
+    text, other = "<h1>Title {n}</h1><p>Long main text of page {n}.</p>", "<div class=comments><p>Reader {n}</p></div><ol class=comment-list><li><article>Reply {n}</article></ol>"
+    main = "Title {n}\nLong main text of page {n}."
+    bodies = [
+        f"<article class='post comments-open'>{text}{other}</article>", f"<article class='category-social'>{text}</article>{other}", f"<article class='search'>{text}</article>",
+        f"<main id='main' class='no-sidebar'>{text}</main>", f"<div class='content has-sidebar'>{text}</div>{other}", f"<div class='content has-sidebar'><article>{text}</article></div>",
+        f"<div class='sidebar search'><main>{text}</main></div>", f"<form id=aspnet><div class=post>{text}</div></form>", f"<form>{text}</form>", f"<div class='notice'>{text}</div>",
+        f"<div class='content'>{text}</div><div class='related'><article>Card {{n}}</article></div>", f"<div class='entry social'>{text}</div><div class=site-footer>All rights {{n}}</div>",
+    ]
+    pages = [(f"http://h{h}.example/x", f"<html><body class='ad'><nav>Menu</nav>{b.format(n=n)}<footer>End</footer></body></html>") for h, b in enumerate(bodies) for n in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(_pages(spark, _rows(pages))).collect()}
+    assert [(i // 6, got[i]) for i in range(len(pages))] == [(i // 6, main.format(n=i % 6)) for i in range(len(pages))]
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     got = html.extract(_pages(spark, _rows([("http://copies.example/x", PAGE.format(n=1))] * 9))).collect()
     assert {r["text"] for r in got} == {_wanted(1)} and len(got) == 9
