@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-One table of bit masks holds the filters of all languages: bit l of a slot belongs to
-language l, so one look-up of a gram's slots, and-ed together, gives every language that
+Tables of bit masks hold the filters of all languages, 64 in each: bit l % 64 of a slot of table
+l // 64 belongs to language l, so one look-up of a gram's slots, and-ed together, gives every language that
 contains it. A text's count for a language is the popcount of that bit over its grams, less
 what the filter's fill makes false positives of.
 
@@ -29,8 +29,10 @@ from driftmark.llm.rows import with_text_columns
 UNKNOWN = "und"
 ORDERS = (3, 4)
 HASHES = 3
-#: log2 of the table's slots, each of one bit for every language.
+#: log2 of a table's slots, each of one bit for every language.
 SLOT_BITS = 18
+#: Languages that a slot of a table has bits for.
+WORD = 64
 #: A language has a gram if its share there is at least this part of the gram's largest share.
 LEAST_PART = 0.1
 #: Code points whose grams are held at once.
@@ -97,11 +99,11 @@ def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Filters:
-    """The filters of up to 64 languages."""
+    """The filters of any number of languages; slots has a row for each table of WORD languages."""
 
     def __init__(self, languages: list[str], slots: np.ndarray, fallback: int):
         self.languages, self.slots, self.fallback = languages, slots, fallback
-        fill = np.array([((slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+        fill = np.array([((slots[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(languages))])
         self.false = fill**HASHES
 
     @staticmethod
@@ -115,23 +117,22 @@ class Filters:
     def learn(cls, samples: dict[str, list[str]], rows: dict[str, int]) -> Filters:
         """Filters from sample texts of each language; rows: how many rows have it."""
         languages = sorted(samples)
-        if len(languages) > 64:
-            raise ValueError("one table holds at most 64 languages")
-        slots = np.zeros(1 << SLOT_BITS, np.uint64)
+        slots = np.zeros((-(-len(languages) // WORD), 1 << SLOT_BITS), np.uint64)
         grams_of = [counted(samples[x]) for x in languages]
         for order in range(len(ORDERS)):
             found = [g[order] for g in grams_of]
             every = np.unique(np.concatenate([h for h, _ in found])) if found else np.empty(0, np.uint64)
-            share = np.zeros((len(languages), len(every)))
-            count = np.zeros((len(languages), len(every)), np.int64)
+            # of one language at a time, so that memory doesn't grow with languages times grams
+            most, often = np.zeros(len(every)), np.zeros(len(every), np.int64)
+            for h, n in found:
+                at = np.searchsorted(every, h)
+                most[at] = np.maximum(most[at], n / max(1, n.sum()))
+                often[at] = np.maximum(often[at], n)
             for i, (h, n) in enumerate(found):
                 at = np.searchsorted(every, h)
-                count[i, at] = n
-                share[i, at] = n / max(1, n.sum())
-            has = (share > 0) & (share >= LEAST_PART * share.max(0, initial=0)) & (count >= np.minimum(2, count.max(0, initial=0)))
-            for i in range(len(languages)):
-                for place in cls.places(every[has[i]]):
-                    slots[place] |= np.uint64(1 << i)
+                has = (n / max(1, n.sum()) >= LEAST_PART * most[at]) & (n >= np.minimum(2, often[at]))
+                for place in cls.places(h[has]):
+                    slots[i // WORD, place] |= np.uint64(1 << i % WORD)
         fallback = max(range(len(languages)), key=lambda i: (rows.get(languages[i], 0), -i), default=0)
         return cls(languages, slots, fallback)
 
@@ -139,12 +140,14 @@ class Filters:
         """Corrected part of each text's grams that each language has; -1 for texts without a letter."""
         counts, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for h, owner in grams(texts):
-            mask = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
-            for place in self.places(h):
-                mask &= self.slots[place]
+            places = self.places(h)
             total += np.bincount(owner, minlength=len(texts))
-            for i in range(len(self.languages)):
-                counts[:, i] += np.bincount(owner[(mask >> np.uint64(i) & np.uint64(1)).astype(bool)], minlength=len(texts))
+            for first, slots in zip(range(0, len(self.languages), WORD), self.slots, strict=True):
+                mask = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
+                for place in places:
+                    mask &= slots[place]
+                for i in range(first, min(first + WORD, len(self.languages))):
+                    counts[:, i] += np.bincount(owner[(mask >> np.uint64(i - first) & np.uint64(1)).astype(bool)], minlength=len(texts))
         part = counts / np.maximum(total, 1)[:, None]
         part = np.clip((part - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
         part[total == 0] = -1
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, training: Column, per_language: int = 1000, sample_char
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not rows:
-        return Filters([], np.zeros(1 << SLOT_BITS, np.uint64), 0)
+        return Filters([], np.zeros((0, 1 << SLOT_BITS), np.uint64), 0)
     # twice the wanted part of each language by hash, then the least hashes of that small rest
     parts = F.create_map(*[x for k, n in rows.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_language / n)))])
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30))

@@ -103,3 +103,14 @@ def test_language_in_spark(spark, make_docs, odd_texts):
     nothing = language.fit(docs.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in language.predict(docs, nothing, ["doc_id"]).collect()} == {"und"}
     assert language.predict(docs.limit(0), filters, ["doc_id"]).count() == 0
+
+
+def test_more_languages_than_bits(spark, make_docs):
+    rng = random.Random(5)
+    words = {f"l{i:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(4)] for i in range(150)}
+    langs = [x for x in words for _ in range(4)]
+    docs = make_docs([" ".join(rng.choices(words[x], k=12)) for x in langs], langs=langs)
+    filters = language.fit(docs, F.col("doc_id") % 4 > 0)
+    assert filters.languages == sorted(words)
+    told = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, filters, ["doc_id"]).collect()}
+    assert [told[i] for i in range(len(langs))] == langs
