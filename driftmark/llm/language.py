@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.llm.rows import with_text_columns
@@ -179,10 +179,12 @@ def fit(docs: DataFrame, training: Column, per_language: int = 1000, sample_char
     parts = F.create_map(*[x for k, n in rows.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_language / n)))])
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30))
     some = known.where(h < parts[F.col("lang")] * (1 << 30)).select("lang", F.substring("text", 1, sample_chars).alias("text"), h.alias("h"))
+    # cut in Spark, since equal doc_ids share a hash
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     samples: dict[str, list[tuple]] = {}
-    for r in some.collect():
+    for r in some.withColumn("n", first).where(F.col("n") <= per_language).collect():
         samples.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return Filters.learn({k: [t for _, t in sorted(v)[:per_language]] for k, v in samples.items()}, rows)
+    return Filters.learn({k: [t for _, t in sorted(v)] for k, v in samples.items()}, rows)
 
 
 def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

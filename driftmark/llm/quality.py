@@ -7,7 +7,7 @@ whole text alone.
 
 Defined results: null or empty text -> the score of the statistics of an empty text; no
 usable label -> 0.5 everywhere; a doc_id labelled more than once counts by its least label,
-null labels not at all; repeated rows each get a row; an empty table none.
+null labels not at all; of a labelled doc_id's rows one is learnt from; repeated rows each get a row; an empty table none.
 """
 
 from __future__ import annotations
@@ -137,12 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 1
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & training)
     # the sample is bounded by most_rows, and so is what the join below broadcasts
     some = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("__dm_label")).orderBy(h, "doc_id").limit(most_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # a repeated doc_id counts once, by the text of least hash, so that most_rows bounds the rows, not only the ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "__dm_label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     wanted = with_text_columns(sample, lambda texts: list(zip(*map(_row, texts), strict=True)) or _none(), {f"s{i}": "double" for i in range(len(_row("")))}, ["__dm_label", "doc_id"])
     rows = sorted(tuple(r) for r in wanted.collect())
     if not rows:
         return Trees.constant()
-    table = np.array([[r[0], *r[2:]] for r in rows[: 2 * most_rows]], float)
+    table = np.array([[r[0], *r[2:]] for r in rows], float)
     return Trees.fit(table[:, 1:], table[:, 0])
 
 

@@ -114,3 +114,12 @@ def test_more_languages_than_bits(spark, make_docs):
     assert filters.languages == sorted(words)
     told = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, filters, ["doc_id"]).collect()}
     assert [told[i] for i in range(len(langs))] == langs
+
+
+def test_a_repeated_id_doesn_t_push_out_the_other_label(spark, make_docs):
+    ids = [*range(60), *[0] * 400]  # document 0, of label 0, again and again
+    texts = _texts(60)
+    docs = make_docs([texts[i] for i in ids], ids=ids)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels, F.lit(True), most_rows=60), ["doc_id"]).collect()}
+    assert all((rows[i] >= 0.5) == bool(i % 3) for i in range(60))
