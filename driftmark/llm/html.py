@@ -1,23 +1,32 @@
 """Main text of web pages by equivalence classes of tokens on the pages of a host.
 
-A page's tokens are the opening and closing tags of its structural elements, each told
-apart by its path, and its text runs. Tokens of a host with the same occurrence vector (how
-often each page has them) form an equivalence class. A class is valid for an element if it
-holds its opening and its closing tag: the element is then whole on every page, and such
-elements, nested by their paths, are the host's template. Blocks made of text runs that occur on
-nearly all pages of a host are template text, unless an element names them as the article's. What is left are the slots, named by the template
-elements around them; slots of menus, adverts and the like are recognised by those
-elements, and of the others those inside the article are the main text. This is decided for
-each page: on those where no element says so, the main text is in the slots that aren't
-mostly links (those set apart by a word only if there is no other text), and slots and template text are worked out from the host's pages of that kind.
-
-Occurrence vectors are kept as fingerprints (XOR of a mix of page and count, number of
-pages, total), which add up before any shuffle, so a host of any number of pages is never
-gathered in one place; a host's summary has one row for each of its paths.
+A page's tokens are its structural elements, told apart by their paths, and its text runs,
+told apart by the path and the text. Tokens of a host with the same occurrence vector (how often
+each page has them) form an equivalence class. A class of elements is valid if every page
+that has it has it once and whole (opened and closed); its elements, nested by their paths,
+are the host's template, and a class that only some pages have is one of the things that
+may stand in a slot of the classes around it. Elements that a page has several times
+are iterations inside a slot. Text runs in a class with such elements are template text; a
+slot is what the pages put between the template's tokens, and its size is the
+text that isn't template text or link text.
+
+From the whole page inwards, a page's main text is in the template element that holds most of the
+text of the slots around it, as long as there is one (MOST of it). Sizes are means over the
+host's pages. The names of the template's elements veto (menus, adverts, forms, comments and the
+like are no main text, unless a page has no other), protect (an element named as the article is
+taken whole, with the text that pages repeat in it) and settle what sizes leave open; those of elements
+outside the template say nothing.
+
+Occurrence vectors are kept as fingerprints (sums of two 32-bit mixes of page and count,
+number of pages, total, largest count), which add up before any shuffle; classes are matched by
+their fingerprints, so a host of any number of pages is never gathered in one place: its
+template has one row for each of its paths and template texts. Pages that leave elements
+open are not learnt from, unless a host has no other.
 
 Defined results: null or empty html, or no main text -> text "" and n_chars 0; a null url
-is a host of its own; broken markup is read as far as it goes; repeated rows each get a row;
-an empty table gives no rows; columns besides those named are ignored.
+is a host of its own; broken markup is read as far as it goes, at any depth in memory that
+grows with the page alone; repeated rows each get a row, and copies of one page don't make its text a
+template's; an empty table gives no rows; columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -53,10 +62,18 @@ APART_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "alert", "bann
 BOX_WORDS = {"0", "site", "page", "post", "posts", "entry", "article", "articles", "main", "list", "area", "section", "box", "block", "form", "links", "buttons", "bar"}
 MAIN = {"article", "main"}
 MAIN_WORDS = {"article", "articlebody", "main", "maincontent", "post", "entry", "story"}
-#: Template text: on at least this part of a host's pages, and on so many pages.
-CONSTANT_PART, CONSTANT_PAGES = 0.9, 5
+#: Elements whose end tag HTML lets a page leave out.
+OPTIONAL_END = {"html", "head", "body", "p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "caption", "option", "optgroup"}
+#: Elements that hold text alone, and so no slots of a template.
+TEXT_ALONE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dt"}
+#: A template element holds the main text if it has this part of the text of the slots around it.
+MOST = 0.7
+#: Pages that a text has to be on to be template text.
+SUPPORT = 3
 #: Templates of all hosts together that are sent to every task.
 BROADCAST_BYTES = 8_000_000
+#: Elements that a process remembers before it starts afresh.
+MEMO = 200_000
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -69,71 +86,17 @@ def element(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted({re.sub(r"\d+", "0", w) for w in found if w})])
 
 
-def walk(page: str):
-    """Events of a page in order.
-
-    ("open" or "close", path, ""), ("text", path, raw run), ("link", path, raw run inside a
-    link), ("break", path, ""): the end of a line or block.
-    """
-    stack: list[tuple[str, str]] = []  # tag and path of open structural elements
-    path, links, at = "", 0, 0
-    while m := MARKUP.search(page, at):
-        if m.start() > at:
-            yield "link" if links else "text", path, page[at : m.start()]
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, alone = m[2].lower(), m[3].endswith("/")
-        if tag in RAW:
-            if not m[1] and not alone:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            yield "break", path, ""
-        elif tag == "a":
-            links = not m[1]
-        elif tag in INLINE:
-            continue
-        elif tag in VOID:
-            yield "break", path, ""
-        elif m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                links = 0
-                yield "close", stack.pop()[1], ""
-                path = stack[-1][1] if stack else ""
-            yield "break", path, ""
-        else:
-            closes = CLOSES.get(tag, {"p"} if tag in BLOCKS else set())
-            while any(t in closes for t, _ in stack[_wall(stack) :]):
-                stack.pop()
-                links = 0
-            above = stack[-1][1] if stack else ""
-            path = above if alone else f"{above}/{element(tag, m[3])}"
-            if not alone:
-                stack.append((tag, path))
-                yield "open", path, ""
-            yield "break", path, ""
-    if at < len(page):
-        yield "link" if links else "text", path, page[at:]
-
-
-def _wall(stack: list[tuple[str, str]]) -> int:
-    """Index of the first element above the innermost one that stops closing rules."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in WALLS:
-            return i + 1
-    return 0
-
-
 def told(run: str) -> str:
     """A text run with references decoded and white space made single."""
     return " ".join(entities.unescape(run).split())
 
 
-def hashed(kind: str, path: str, text: str = "") -> int:
-    """Signed 64-bit hash of a token."""
-    h = xxhash.xxh3_64_intdigest(f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass"))
+def hashed(*parts: int | str) -> int:
+    """Unsigned 64-bit hash."""
+    return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"))
+
+
+def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -145,12 +108,6 @@ def host(url: str | None) -> str:
         return (url or "").lower()
 
 
-def slot(path: str, valid: set[str]) -> list[str]:
-    """The template elements around a path, outermost first."""
-    parts = path.split("/")[1:]
-    return [p for i, p in enumerate(parts) if "/" + "/".join(parts[: i + 1]) in valid]
-
-
 def is_apart(word: str) -> bool:
     parts = set(word.split("-"))
     return bool(parts & APART_WORDS) and parts <= APART_WORDS | BOX_WORDS
@@ -163,145 +120,345 @@ def is_main(word: str) -> bool:
 NAMED, RESCUED, PLAIN, ASIDE, SET_APART = "named", "rescued", "plain", "aside", "apart"
 
 
-@lru_cache(100_000)
-def standing(path: str) -> str:
-    """What the names of the elements around a path make of its text; an element that some page leaves open still says what it is for.
+class Node:
+    """An element by its path: its id follows from the names on the path; whether its name sets its text apart or calls it main."""
+
+    __slots__ = ("id", "above", "tag", "main", "apart")
+
+    def __init__(self, above: Node | None, name: str):
+        self.above = above
+        self.id = hashed(above.id, name) if above else 0
+        self.tag, *words = name.split(".")
+        plain = self.tag in ("html", "body")
+        # an article's or main's own words count for nothing, those inside it for what they enclose
+        self.main = not plain and (self.tag in MAIN or any(map(is_main, words)))
+        self.apart = not plain and self.tag not in MAIN and (self.tag == "form" or any(map(is_apart, words)))
+
+
+ROOT = Node(None, "")
+
+
+class Standing:
+    """What the names of the template elements around a text make of it.
 
     NAMED as main text; RESCUED: so named, but inside or beside a word of what isn't; PLAIN:
-    not named; ASIDE: set apart by a word or a form; SET_APART: by a tag. An article's or main's
-    own words count for nothing, those inside it for what they enclose, and a header outside it sets apart.
+    not named; ASIDE: set apart by a word or a form; SET_APART: by a tag, a header outside an article among them.
     """
-    inside = named = rescued = aside = False
-    for name in path.split("/")[1:]:
-        tag, *words = name.split(".")
-        if tag in APART or tag == "header" and not inside:
-            return SET_APART
-        if tag in ("html", "body"):
+
+    __slots__ = ("inside", "named", "rescued", "aside", "off")
+
+    def __init__(self, inside: bool = False, named: bool = False, rescued: bool = False, aside: bool = False, off: bool = False):
+        self.inside, self.named, self.rescued, self.aside, self.off = inside, named, rescued, aside, off
+
+    def within(self, node: Node) -> Standing:
+        off = self.off or node.tag in APART or node.tag == "header" and not self.inside
+        inside = self.inside or node.tag in MAIN
+        if node.main:
+            return Standing(inside, True, self.rescued or self.aside or node.apart, False, off)
+        return Standing(inside, self.named, self.rescued, self.aside or node.apart, off)
+
+    @property
+    def kind(self) -> str:
+        return SET_APART if self.off else ASIDE if self.aside else RESCUED if self.rescued else NAMED if self.named else PLAIN
+
+
+class _Nodes(dict):
+    """Elements by the id of the one around them and their name."""
+
+    def inside(self, above: Node, name: str) -> Node:
+        node = self.get((above.id, name))
+        if node is None:
+            if len(self) >= MEMO:
+                self.clear()
+            node = self[above.id, name] = Node(above, name)
+        return node
+
+
+_nodes = _Nodes()
+
+
+def walk(page: str):
+    """Events of a page in order.
+
+    ("open", node, ""), ("text", node, raw run), ("link", node, raw run inside a link),
+    ("break", node, ""): the end of a line or block; ("torn", node, ""): an element that
+    should have been closed wasn't.
+    """
+    stack: list[Node] = []
+    counts: dict[str, int] = defaultdict(int)  # open elements by tag
+    node, links, at = ROOT, 0, 0
+
+    def pop() -> Node:
+        counts[stack[-1].tag] -= 1
+        return stack.pop()
+
+    while m := MARKUP.search(page, at):
+        if m.start() > at:
+            yield "link" if links else "text", node, page[at : m.start()]
+        at = m.end()
+        if not m[2]:
             continue
-        apart = tag not in MAIN and (tag == "form" or any(map(is_apart, words)))
-        if tag in MAIN or any(map(is_main, words)):
-            named, rescued, aside = True, rescued or aside or apart, False
+        tag, alone = m[2].lower(), m[3].endswith("/")
+        if tag in RAW:
+            if not m[1] and not alone:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            yield "break", node, ""
+        elif tag == "a":
+            links = not m[1]
+        elif tag in INLINE:
+            continue
+        elif tag in VOID:
+            yield "break", node, ""
+        elif m[1]:
+            if counts[tag]:
+                while stack[-1].tag != tag:
+                    if stack[-1].tag not in OPTIONAL_END:
+                        yield "torn", stack[-1], ""
+                    pop()
+                links = 0
+                pop()
+                node = stack[-1] if stack else ROOT
+            yield "break", node, ""
         else:
-            aside |= apart
-        inside |= tag in MAIN
-    return ASIDE if aside else RESCUED if rescued else NAMED if named else PLAIN
+            closes = CLOSES.get(tag, {"p"} if tag in BLOCKS else set())
+            while any(counts[t] for t in closes) and _closable(stack, closes):
+                pop()
+                links = 0
+            above = stack[-1] if stack else ROOT
+            if alone:
+                node = above
+            else:
+                node = _nodes.inside(above, element(tag, m[3]))
+                stack.append(node)
+                counts[tag] += 1
+                yield "open", node, ""
+            yield "break", node, ""
+    if at < len(page):
+        yield "link" if links else "text", node, page[at:]
+    for left in stack:
+        if left.tag not in OPTIONAL_END:
+            yield "torn", left, ""
 
 
-def chosen(paths: list[tuple[str, int, int, bool]]) -> list[str]:
-    """Of the paths of a host (path, code points of text, those in links, whether the element is valid) those not named as main text whose slot isn't mostly links."""
-    valid = {p for p, _, _, ok in paths if ok}
-    slots = defaultdict(list)
-    for p, text, links, _ in paths:
-        if text and standing(p) in (PLAIN, ASIDE):
-            slots[standing(p), tuple(slot(p, valid))].append((p, text, links))
-    return [p for all_ in slots.values() if 2 * sum(x for _, _, x in all_) < sum(x for _, x, _ in all_) for p, _, _ in all_]
+def _closable(stack: list[Node], closes: set[str]) -> bool:
+    """Whether one of closes is open inside the innermost element that stops closing rules."""
+    for node in reversed(stack):
+        if node.tag in closes:
+            return True
+        if node.tag in WALLS:
+            return False
+    return False
 
 
-def _summaries(pages: DataFrame) -> DataFrame:
-    """host, token, kind, path and the fingerprint of its occurrence vector; text and link sizes for paths.
+def blocks(page: str) -> list[tuple[Node, list[str], str, int]]:
+    """(element, raw runs, text, code points of it in links) of each block that has text."""
+    found: list[tuple[Node, list[str], list[str]]] = []
+    begun = False
+    for kind, node, run in walk(page):
+        if kind in ("text", "link"):
+            if not begun:
+                found.append((node, [], []))
+            begun = True
+            found[-1][1].append(run)
+            found[-1][2].append(kind)
+        elif kind != "torn":
+            begun = False
+    out = []
+    for node, runs, kinds in found:
+        if text := told("".join(runs)):
+            out.append((node, runs, text, sum(len(told(r)) for r, k in zip(runs, kinds, strict=True) if k == "link")))
+    return out
+
+
+#: Columns of the tokens of a host: whether from whole pages; "element" or "run"; id, and the element it is in.
+KEY = ["host", "whole", "kind", "id", "above"]
+SUMS = ["lo", "hi", "pages", "total", "text", "links"]
+
+
+def tokens(page: str) -> tuple[bool, dict[tuple, list[int]]]:
+    """Whether a page is whole, and (kind, id, id of the element it is in) -> count, code points, those in links."""
+    found: dict[tuple, list[int]] = {("element", 0, 0): [1, 0, 0]}
+    whole = True
+    for kind, node, run in walk(page):
+        above = node.above.id if node.above else 0
+        if kind == "torn":
+            whole = False
+        elif kind == "open":
+            # what holds text alone is no part of a template
+            found.setdefault(("text" if node.tag in TEXT_ALONE else "element", node.id, above), [0, 0, 0])[0] += 1
+        elif kind != "break" and (text := told(run)):
+            row = found.setdefault(("text" if node.tag in TEXT_ALONE else "element", node.id, above), [0, 0, 0])
+            row[1] += len(text)
+            row[2] += len(text) * (kind == "link")
+            row = found.setdefault(("run", hashed("run", node.id, text), node.id), [0, len(text), 0])
+            row[0] += 1
+    return whole, found
 
-    Pages, runs and sizes are those of pages on which no element names the main text.
-    """
+
+def _summaries(pages: DataFrame) -> DataFrame:
+    """The tokens of each host with the fingerprints of their occurrence vectors; runs only where they can be template text."""
 
     def counted(batches):
         for batch in batches:
             sums: dict[tuple, list] = {}
-            for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name, tokens, runs, sizes = host(url), defaultdict(int), [], defaultdict(lambda: [0, 0])
-                for kind, path, run in walk(page or ""):
-                    if kind in ("open", "close"):
-                        tokens[kind, path] += 1
-                    elif kind != "break" and (text := told(run)):
-                        runs.append((path, text))
-                        sizes[path][0] += len(text)
-                        sizes[path][1] += len(text) * (kind == "link")
-                if any(standing(path) == NAMED for path in sizes):
-                    sizes.clear()  # such a page says itself which text is main
-                else:
-                    tokens["page", ""] += 1
-                    for path, text in runs:
-                        tokens["run", hashed("run", path, text)] += 1
-                for path in sizes:
-                    tokens["open", path] += 0
-                for (kind, token), n in tokens.items():
-                    row = sums.setdefault((name, kind, token), [0, 0, 0, 0, 0])
-                    if n:
-                        row[0] ^= hashed("page", str(page_id), str(n))
-                        row[1] += 1
-                        row[2] += n
-                    if kind == "open":
-                        row[3] += sizes[token][0]
-                        row[4] += sizes[token][1]
+            for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, (whole, found) = host(url), tokens(page or "")
+                same = hashed("page", page or "")  # copies of a page are one page many times
+                for (kind, token, above), (n, text, links) in found.items():
+                    row = sums.get((name, whole, kind, token, above))
+                    if row is None:
+                        row = sums[name, whole, kind, token, above] = [0, 0, 0, 0, 0, 0, 0, signed(same), signed(same)]
+                    mix = hashed(same, n)
+                    row[0] += mix & 0xFFFFFFFF
+                    row[1] += mix >> 32
+                    row[2] += 1
+                    row[3] += n
+                    row[4] += text
+                    row[5] += links
+                    row[6] = max(row[6], n)
+                    row[7] = min(row[7], signed(same))
+                    row[8] = max(row[8], signed(same))
             keys, values = list(sums), list(sums.values())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([k[2] if k[1] != "run" else "" for k in keys], pa.string()),
-                    pa.array([k[2] if k[1] == "run" else 0 for k in keys], pa.int64()),
-                    *(pa.array([v[i] for v in values], pa.int64()) for i in range(5)),
+                    pa.array([k[1] for k in keys], pa.bool_()),
+                    pa.array([k[2] for k in keys], pa.string()),
+                    pa.array([signed(k[3]) for k in keys], pa.int64()),
+                    pa.array([signed(k[4]) for k in keys], pa.int64()),
+                    *(pa.array([v[i] for v in values], pa.int64()) for i in range(9)),
                 ],
-                ["host", "kind", "path", "run", "print", "pages", "total", "text", "links"],
+                [*KEY, *SUMS, "most", "first", "last"],
             )
 
-    made = pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(counted, "host string, kind string, path string, run long, print long, pages long, total long, text long, links long")
-    sums = made.groupBy("host", "kind", "path", "run").agg(F.bit_xor("print").alias("print"), *(F.sum(c).alias(c) for c in ("pages", "total", "text", "links")))
-    # runs on few pages can't be template text, and most runs are on one
-    return sums.where(F.col("kind") != "run").unionByName(sums.where((F.col("kind") == "run") & (F.col("pages") >= CONSTANT_PAGES)))
+    ddl = "host string, whole boolean, kind string, id long, above long, " + ", ".join(f"{c} long" for c in [*SUMS, "most", "first", "last"])
+    made = pages.select("url", "html").mapInArrow(counted, ddl)
+    sums = made.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in SUMS), F.max("most").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # most runs are on one page, which makes no template
+    sums = cut(sums.where((F.col("kind") != "run") | (F.col("pages") >= SUPPORT) & (F.col("first") != F.col("last"))))
+    shared = ["host", "whole", "lo", "hi", "pages", "total"]
+    classes = sums.where((F.col("kind") == "element") & (F.col("most") == 1)).select(*shared).distinct()
+    runs = sums.where("kind = 'run'").join(classes, shared, "left_semi")
+    return sums.where("kind != 'run'").unionByName(runs.select(*sums.columns))
+
+
+#: A path of a host: id, whether it is part of the template, mean own text of a page outside links and template text, mean of all text, whether it is mostly links.
+PATH = np.dtype([("id", "<i8"), ("part", "u1"), ("size", "<f8"), ("text", "<f8"), ("links", "u1")])
 
 
 def _templates(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row for a host: hashes of the paths of main text, and of template text, for pages on which no element names it."""
-    pages = int(rows.loc[rows["kind"] == "page", "pages"].sum())
-    vector = list(zip(rows["print"], rows["pages"], rows["total"], strict=True))
-    classes = {k: defaultdict(set) for k in ("open", "close")}
-    for kind, path, v in zip(rows["kind"], rows["path"], vector, strict=True):
-        if kind in classes:
-            classes[kind][v].add(path)
-    valid = {p for v, opened in classes["open"].items() for p in opened & classes["close"].get(v, set())}
-    opened = rows[rows["kind"] == "open"]
-    keep = chosen([(p, int(t), int(x), p in valid) for p, t, x in zip(opened["path"], opened["text"], opened["links"], strict=True)])
-    runs = rows[(rows["kind"] == "run") & (rows["pages"] >= max(CONSTANT_PAGES, CONSTANT_PART * pages))]["run"]
-    packed = lambda x: np.array(sorted(x), "<i8").tobytes()
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "keep": [packed(hashed("path", p) for p in keep)], "constant": [packed(map(int, runs))]})
-
-
-def main_text(page: str | None, keep: frozenset[int], constant: frozenset[int]) -> str:
-    """The blocks of a page that elements name as its main text.
-
-    If there are none, the longer of those rescued and those of plain paths in `keep`; if these
-    leave nothing, those set apart by words in `keep`. Of paths in `keep`, template text is
-    left out unless that leaves nothing.
+    """One row for a host: its paths and its template texts, packed."""
+    name = rows["host"].iloc[0]
+    if rows["whole"].any():
+        rows = rows[rows["whole"]]
+    runs, paths = rows[rows["kind"] == "run"], rows[rows["kind"] != "run"]
+    fixed = runs.assign(chars=runs["text"]).groupby("above")["chars"].sum()
+    out = np.zeros(len(paths), PATH)
+    out["id"] = paths["id"]
+    out["part"] = (paths["kind"] == "element") & (paths["most"] == 1)
+    free = np.maximum(paths["text"] - paths["links"] - paths["id"].map(fixed).fillna(0), 0)
+    out["size"], out["text"] = free / paths["pages"], paths["text"] / paths["pages"]
+    out["links"] = (paths["text"] > 0) & (2 * paths["links"] >= paths["text"])
+    return pd.DataFrame({"host": [name], "paths": [np.sort(out, order="id").tobytes()], "fixed": [np.sort(runs["id"].to_numpy("<i8")).tobytes()]})
+
+
+class Template:
+    """What a host's pages say of its paths; without them nothing is known of any."""
+
+    def __init__(self, paths: bytes = b"", fixed: bytes = b""):
+        rows = [(r[0] & 0xFFFFFFFFFFFFFFFF, *r[1:]) for r in np.frombuffer(paths, PATH).tolist()]
+        self.parts = {r[0] for r in rows if r[1]}
+        self.sizes = {r[0]: (r[2], r[3], bool(r[4])) for r in rows}
+        self.fixed = set(np.frombuffer(fixed, "<u8").tolist())
+
+    def is_fixed(self, node: Node, runs: list[str]) -> bool:
+        """Whether a block is made of template texts alone."""
+        return bool(self.fixed) and all(hashed("run", node.id, t) in self.fixed for r in runs if (t := told(r)))
+
+    def standings(self, nodes: dict[int, Node]) -> dict[int, str]:
+        """The standing of the text of each element, outer ones first; names of elements that the host's classes don't have say nothing."""
+        found = {0: Standing()}
+        for i, node in nodes.items():
+            if i:
+                above = found[node.above.id]
+                found[i] = above.within(node) if i in self.sizes else above
+        return {i: x.kind for i, x in found.items()}
+
+
+def content(nodes: dict[int, Node], kinds: dict[int, str], sizes: dict[int, float], template: Template) -> int:
+    """The id of the innermost template element that holds the main text.
+
+    nodes: the elements around text, outer ones first; sizes: the text that is theirs.
     """
-    blocks: list[tuple[str, list[str]]] = []  # a block has one path
-    begun = False
-    for kind, path, run in walk(page or ""):
-        if kind not in ("text", "link"):
-            begun = False
-        elif standing(path) != SET_APART:
-            if not begun:
-                blocks.append((path, []))
-            begun = True
-            blocks[-1][1].append(run)
-    texts = [(path, runs, text) for path, runs in blocks if (text := told("".join(runs)))]
-    # what pages repeat inside an article is theirs
-    if named := [text for path, _, text in texts if standing(path) == NAMED]:
-        return "\n".join(named)
-    rescued = "\n".join(text for path, _, text in texts if standing(path) == RESCUED)
-    for kind in (PLAIN, ASIDE):
-        kept = [(path, runs, text) for path, runs, text in texts if standing(path) == kind and hashed("path", path) in keep]
-        # a block is template text as a whole or not at all
-        own = "\n".join(text for path, runs, text in kept if not (constant and all(hashed("run", path, told(r)) in constant for r in runs)))
-        if found := max(rescued, own, key=len) or "\n".join(text for _, _, text in kept):
-            return found
+    around: dict[int, int] = {0: 0}
+    held: dict[int, float] = {0: 0.0}
+    for i, node in nodes.items():
+        if i:
+            around[i] = i if i in template.parts else around[node.above.id]
+            held.setdefault(around[i], 0.0)
+    for i, size in sizes.items():
+        held[around[i]] += size
+    outer = {i: around[nodes[i].above.id] for i in held if i}
+    for i in reversed([i for i in nodes if i in outer]):
+        held[outer[i]] += held[i]
+    best: dict[int, int] = {}
+    for i, o in outer.items():
+        if o not in best or held[i] > held[best[o]]:
+            best[o] = i
+    at = 0
+    while at in best and held[best[at]] >= MOST * held[at] > 0 and kinds[at] != NAMED:
+        at = best[at]
+    return at
+
+
+def main_text(page: str | None, template: Template) -> str:
+    """The main text of a page: the blocks of the template element that holds it, in page order."""
+    found = blocks(page or "")
+    nodes: dict[int, Node] = {0: ROOT}
+    for node, *_ in found:
+        chain = []
+        while node.id not in nodes:
+            chain.append(node)
+            node = node.above
+        nodes |= {n.id: n for n in reversed(chain)}
+    kinds = template.standings(nodes)
+    chars: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    total: dict[str, int] = defaultdict(int)
+    for node, _, text, links in found:
+        chars[node.id][0] += len(text)
+        chars[node.id][1] += links
+        total[kinds[node.id]] += len(text)
+    # paths that the host's whole pages don't have go by this page alone
+    links = {i: template.sizes[i][2] if i in template.sizes else 2 * x >= n for i, (n, x) in chars.items()}
+    first = {NAMED, PLAIN} if total[NAMED] or total[PLAIN] and total[PLAIN] >= total[RESCUED] else {RESCUED}
+    for wanted in (first, {PLAIN, RESCUED} - first, {ASIDE}):
+        mine = [b for b in found if kinds[b[0].id] in wanted and (kinds[b[0].id] == NAMED or not links[b[0].id])]
+        if not mine:
+            continue
+        free = {b[0].id: template.sizes.get(b[0].id, (chars[b[0].id][0],) * 2) for b in mine}
+        sizes = {i: s[0] for i, s in free.items()}
+        if not any(sizes.values()):  # all is template text
+            sizes = {i: s[1] for i, s in free.items()}
+        at = content(nodes, kinds, sizes, template)
+        inside: dict[int, bool] = {}
+        for i, node in nodes.items():
+            inside[i] = i == at or i != 0 and inside[node.above.id]
+        kept = [b for b in mine if inside[b[0].id]]
+        of = {b[0].id for b in kept}
+        named = sum(sizes[i] for i in of if kinds[i] == NAMED)
+        if named and named >= (1 - MOST) * sum(sizes[i] for i in of):
+            kept = [b for b in kept if kinds[b[0].id] == NAMED]
+        own = [b[2] for b in kept if kinds[b[0].id] == NAMED or not template.is_fixed(b[0], b[1])]
+        if own or kept:
+            return "\n".join(own or [b[2] for b in kept])
     return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     ship(pages.sparkSession)
-    told_hosts = _summaries(pages).groupBy("host").applyInPandas(_templates, "host string, keep binary, constant binary")
-    templates = cut(told_hosts)
+    templates = cut(_summaries(pages).groupBy("host").applyInPandas(_templates, "host string, paths binary, fixed binary"))
 
     def with_host(batches):
         for batch in batches:
@@ -311,12 +468,12 @@ def extract(pages: DataFrame) -> DataFrame:
     hosted = pages.select("page_id", "url", "html").mapInArrow(with_host, f"host string, page_id {kind}, url string, html string")
 
     def read(batches):
-        unpacked = lru_cache(1000)(lambda b: frozenset(np.frombuffer(b, "<i8").tolist()))
+        unpacked = lru_cache(1000)(Template)
         for batch in batches:
-            texts = [main_text(h, unpacked(k), unpacked(c)) for h, k, c in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [main_text(h, unpacked(p, f)) for h, p, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # pages are sent by host only where the templates are too large for every task
-    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length("keep") + F.octet_length("constant")).alias("n")).first()["n"] or 0
-    joined = hosted.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host").select("page_id", "url", "html", "keep", "constant")
+    size = templates.agg(F.sum(F.octet_length("host") + F.octet_length("paths") + F.octet_length("fixed")).alias("n")).first()["n"] or 0
+    joined = hosted.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host").select("page_id", "url", "html", "paths", "fixed")
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
