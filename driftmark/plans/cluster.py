@@ -6,9 +6,10 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent.parent
@@ -51,19 +52,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running(df: DataFrame, group: list[str], order: list[str], weight: str, name: str, buckets: int = 256) -> DataFrame:
+#: Rows of a bucket that are put in order by one task, on average.
+BUCKET_ROWS = 100_000
+LEAST_BUCKETS = 256
+
+
+def running(
+    df: DataFrame, group: list[str], order: list[str], weight: str, name: str, buckets: int | None = None, deal: Column | None = None, turn: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Add `name`: the sum of `weight` over the rows before each row of its group, with no group in one task.
 
-    Rows of a group are dealt into hash buckets of their order columns; each bucket is
+    Rows of a group are dealt into buckets by a hash (`deal`, by default that of the order columns); each bucket is
     summed alone, and the buckets' sums (buckets x groups rows, never the rows themselves)
-    give where each starts. The order inside a group is by bucket, then by the order
+    give where each starts. There are as many buckets as keep those of the largest group at BUCKET_ROWS rows,
+    if no number is given. The order inside a group is by bucket (by `turn` of its number, where given), then by the order
     columns: a fixed shuffle that depends on values only, so a task that runs again gives
     the same numbers. Rows equal in all order columns get any of their places.
     """
     b, n, start = "__dm_bucket", "__dm_n", "__dm_start"
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    if buckets is None:
+        largest = df.groupBy(*group).count().agg(F.max("count").alias("n")).first()["n"] or 0
+        buckets = max(LEAST_BUCKETS, -(-largest // BUCKET_ROWS))
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order) if deal is None else deal, F.lit(buckets)).cast("int"))
     sums = dealt.groupBy(*group, b).agg(F.sum(weight).alias(n))
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    turns = [b] if turn is None else [turn(F.col(b)), F.col(b)]
+    before = Window.partitionBy(*group).orderBy(*turns).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*group, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
     inside = Window.partitionBy(*group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -74,7 +87,7 @@ def running(df: DataFrame, group: list[str], order: list[str], weight: str, name
     )
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """Add `name`: a gapless rank from 0 inside each group, as `running` gives it for a weight of 1."""
     one = "__dm_one"
     return running(df.withColumn(one, F.lit(1)), group, order, one, name, buckets).drop(one)
