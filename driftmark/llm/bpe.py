@@ -1,8 +1,9 @@
 """Byte-level BPE with a whole-token shortcut, equal to the `tokenizers` library.
 
 Offline proof, once for each vocabulary and process: a vocabulary string is *whole* if
-merging its bytes by the rank table ends in that one token. A pre-token equal to such a
-string is that token without any merge; only the other pre-tokens are merged.
+merging its bytes, pair by pair and with no look-up of the string itself, ends in that one
+token; strings that no merge reaches, or that other merges cut differently, are not. A pre-token equal to a whole
+string is that token without any merge; all other pre-tokens, of any length, are merged by the library's model.
 
 Text made of letters below U+0250 and ordinary white space is split by a compiled class
 table; any other text is split by the library's own pre-tokenizer, so that both agree with
@@ -19,11 +20,8 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import tiktoken
 from tokenizers import Tokenizer
 
-#: Pieces longer than this go to the library, whose merge loop keeps a heap.
-LONG_PIECE = 512
 #: Entries a process remembers before it starts afresh.
 MEMO = 400_000
 #: Code points that the class table covers.
@@ -66,31 +64,18 @@ class ByteBPE:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        pre = spec["pre_tokenizer"] or {}
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+            raise ValueError("a plain BPE file is needed")
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"]:
             raise ValueError("a byte-level BPE file without prefix space or normalizer is needed")
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
-        letters = byte_letters()
-        ranks = {bytes(letters[x] for x in s): i for s, i in vocab.items() if s not in added}
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        made = [vocab[a + b] for a, b in merges]
-        if made != sorted(made) or len(set(made)) != len(made) or len(made) + 256 != len(ranks):
-            raise ValueError("the ids don't follow the order of the merges")
         self.added = added
-        self.letters = letters
-        core = tiktoken.Encoding("ranks", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})
-        self._merge = core._core_bpe.encode_single_piece
-        self.whole = {}
-        for raw, i in ranks.items():
-            try:
-                text = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if self._merge(raw) == [i]:
-                self.whole[text] = i
+        self.letters = byte_letters()
+        self._letter = {b: s for s, b in self.letters.items()}
+        self.whole = self._proved({s: i for s, i in model["vocab"].items() if s not in added})
         letter, number = _class("L"), _class("N")
         self._split = re.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"
@@ -101,13 +86,21 @@ class ByteBPE:
         self._counts = _Memo(lambda p: 1 if p in whole else len(self.merge(p)))
         self._ids = _Memo(lambda p: struct.pack("<I", whole[p]) if p in whole else self._packed(p))
 
+    def _proved(self, vocab: dict[str, int]) -> dict[str, int]:
+        """The strings of a vocabulary, as text, whose bytes merge into their one token."""
+        found = {}
+        for letters, i in vocab.items():
+            try:
+                text = bytes(self.letters[x] for x in letters).decode("utf-8")
+            except (KeyError, UnicodeDecodeError):
+                continue  # no text by itself
+            if self.merge(text) == [i]:
+                found[text] = i
+        return found
+
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token by merging its bytes."""
-        raw = piece.encode("utf-8")
-        if len(raw) > LONG_PIECE:
-            back = {b: s for s, b in self.letters.items()}
-            return [t.id for t in self.library.model.tokenize("".join(back[b] for b in raw))]
-        return self._merge(raw)
+        return [t.id for t in self.library.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self._letter))]
 
     def _packed(self, piece: str) -> bytes:
         ids = self.merge(piece)

@@ -1,7 +1,9 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from driftmark.llm import packing, tokens
-from driftmark.llm.bpe import byte_bpe
+from driftmark.llm.bpe import ByteBPE, byte_bpe, byte_letters
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,14 +23,65 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-def test_every_whole_string_is_one_token(library):
+def by_ranks(piece: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """Merging a pre-token by the plain rule: the pair of least rank, leftmost first, until no pair has one."""
+    parts = [bytes((b,)) for b in piece]
+    while True:
+        best = min(((ranks[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks), default=None)
+        if best is None:
+            return parts
+        parts[best[1] : best[1] + 2] = [b"".join(parts[best[1] : best[1] + 2])]
+
+
+def spec_of(path):
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    letters = byte_letters()
+    raw = lambda s: bytes(letters[x] for x in s)
+    merges = [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
+    return {raw(s): i for s, i in spec["vocab"].items() if set(s) <= set(letters) and s != "<|endoftext|>"}, {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
+
+
+def test_the_proof_equals_plain_merging():
     bpe = byte_bpe(PATH)
-    some = random.Random(1).sample(sorted(bpe.whole.items()), 3000)
-    for text, i in some:
-        assert bpe.merge(text) == [i]
+    vocab, ranks = spec_of(PATH)
+    for raw, i in random.Random(1).sample(sorted(vocab.items()), 4000):
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        parts = by_ranks(raw, ranks)
+        assert (text in bpe.whole) == (parts == [raw])
+        assert bpe.merge(text) == [vocab[x] for x in parts]
+        assert bpe.whole.get(text, i) == i
     assert len(bpe.whole) > 45_000
 
 
+def test_strings_that_no_merge_reaches_are_not_whole(tmp_path, spark, make_docs):
+    """`abc` is cut into ab and c by the earlier merge; `xyz` has no merge at all; both are in the vocabulary."""
+    letters = list(byte_letters())
+    vocab = {s: i for i, s in enumerate([*letters, "ab", "bc", "abc", "xyz", "yz"])}
+    merges = [["a", "b"], ["b", "c"], ["a", "bc"], ["y", "z"]]
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": merges}
+    pre = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": pre, "post_processor": None, "decoder": None, "model": model}))
+    bpe, library = ByteBPE(str(path)), Tokenizer.from_file(str(path))
+    assert {"ab", "bc", "yz"} <= set(bpe.whole) and not {"abc", "xyz"} & set(bpe.whole)
+    texts = ["abc", "xyz", "ab bc yz abc", "aabbcc xyzxyz abcabc", "a" * 700 + "bc"]
+    for t in texts:
+        assert bpe.ids(t).tolist() == library.encode(t).ids and bpe.count(t) == len(library.encode(t).ids)
+    rows = sorted(tokens.count_tokens(make_docs(texts), str(path)).collect(), key=lambda r: r["doc_id"])
+    assert [r["n_tokens"] for r in rows] == [len(library.encode(t).ids) for t in texts]
+
+
+def test_pieces_of_many_lengths_equal_the_library(library):
+    rng = random.Random(2)
+    bpe = byte_bpe(PATH)
+    for n in [*range(1, 40), 63, 64, 65, 255, 256, 257, 511, 512, 513, 1025, 5000]:
+        t = "".join(rng.choices("etaoinshré日", k=n))
+        assert bpe.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_odd_texts_equal_the_library(library, odd_texts):
     bpe = byte_bpe(PATH)
     for t in odd_texts:
