@@ -58,7 +58,7 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
