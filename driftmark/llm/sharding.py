@@ -49,7 +49,7 @@ def shard_of(key: Column, shards: int) -> Column:
     return of(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, buckets: int = 1024) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Shard, slot inside the shard and shard after one more is added, for each row."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -65,6 +65,6 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, buckets: int = 1024) ->
         shard_of(F.col("doc_id"), shards).alias("shard"),
         shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
     )
-    return ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", buckets).select(
+    return ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
