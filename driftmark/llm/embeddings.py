@@ -1,16 +1,22 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Equal vectors become one class. Each class is described by the ordered list of its nearest
-reference points (pivots); inverted lists hold the classes of each pivot, and two classes
-that share enough pivots are candidates, verified by their cosine in double precision. A
-pair is counted in the list of its least shared pivot alone. Lists are worked through in
+Equal vectors become one class. Each class is described by the ordered list of its PREFIX nearest
+reference points (pivots) and stands in the inverted lists of the LISTED nearest. Two classes of
+a list are candidates if they share LEAST_SHARED pivots of their whole prefixes and these stand near the front of both: a shared pivot
+counts by the product of what its places are worth, from 1 for the first down to 1 / PREFIX,
+and the counts must sum to LEAST_WEIGHT. Only candidates are verified, by their cosine in double precision. A
+pair is looked at in the list of its least shared pivot alone. Lists are worked through in
 pairs of blocks of at most BLOCK classes on average, so a common vector's list is spread
-over many tasks, and what leaves a block is one row for each linked class, not each pair.
+over many tasks, and what leaves a block is one row for each linked class, not each pair. Inside a block,
+the weighted counts come from one product of narrow hashed tables, in which pivots that collide can only add, and
+are then taken exactly where that product reaches LEAST_WEIGHT.
 
 Pivots come from a bounded sample (`SAMPLE` vectors by a hash of the id, thinned so that no
-two lie close) and fixed random directions; there are 6 * sqrt(classes) of them, at most
-MOST_PIVOTS, which bounds the table sent to the tasks. At cosine 0.9 a pair shares about 6 of
-12 pivots; one is enough here. The tests measure recall against brute force.
+two lie close) and fixed random directions; there are 6 * sqrt(classes) of them, so that the pairs looked at grow with the
+power 1.5 of the table. They are sent to all tasks as single floats, at most PIVOT_BYTES of them: at 64 components that
+is reached at some 30 billion classes, beyond which lists grow in proportion.
+At cosine 0.9 exactly, pairs of random vectors of 64 components are found with a probability of 0.998 among up to a million classes and 0.99 among
+20 million; the tests measure recall against brute force.
 
 Defined results: a vector that is null, zero or holds null or non-finite components, or
 whose id is null, links with nothing; vectors of other lengths link among themselves alone;
@@ -32,10 +38,12 @@ from driftmark.plans.cluster import cut, ship
 from driftmark.plans.components import components
 
 SAMPLE = 4096
-MOST_PIVOTS = 16_384
-PREFIX = 12
-LEAST_SHARED = 1
-BLOCK = 256
+PIVOT_BYTES = 256_000_000
+PREFIX, LISTED = 16, 10
+LEAST_SHARED, LEAST_WEIGHT = 2, 0.75
+BLOCK = 512
+#: Columns of the tables that weighted counts are first taken from.
+HASHED = 512
 
 
 def choose_pivots(sample: np.ndarray, many: int, seed: int = 7) -> np.ndarray:
@@ -53,19 +61,43 @@ def choose_pivots(sample: np.ndarray, many: int, seed: int = 7) -> np.ndarray:
 
 def prefixes(unit: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """For each row the indices of its nearest pivots, nearest first; equal distances by index."""
-    near = unit @ pivots.T
+    near = unit.astype(np.float32) @ pivots.astype(np.float32, copy=False).T
     some = np.argpartition(-near, min(length, near.shape[1]) - 1, axis=1)[:, :length]
     some.sort(axis=1)
     order = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
     return np.take_along_axis(some, order, 1).astype(np.int32)
 
 
-def _linked(cosine: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """cosine >= least, with values at the border taken again by exact sums."""
+def worth(length: int) -> np.ndarray:
+    """What each place of a prefix is worth."""
+    return (length - np.arange(length)) / length
+
+
+def retrieved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of rows of a and b whose weighted count of shared pivots may reach LEAST_WEIGHT: all that do, and few others."""
+    w = worth(a.shape[1]).astype(np.float32)
+    tables = []
+    for lists in (a, b):
+        table = np.zeros((len(lists), HASHED), np.float32)
+        np.add.at(table, (np.arange(len(lists))[:, None], lists.astype(np.int64) * 0x9E3779B1 >> 7 & HASHED - 1), w)
+        tables.append(table)
+    return np.nonzero(tables[0] @ tables[1].T >= LEAST_WEIGHT - 1e-4)
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of prefixes: pivots shared, their weighted count, and the least one that both are listed under."""
+    same = x[:, :, None] == y[:, None, :]
+    w = worth(x.shape[1])
+    listed = np.where(same[:, :LISTED, :LISTED].any(2), x[:, :LISTED], np.iinfo(np.int32).max).min(1)
+    return same.sum((1, 2)), np.einsum("nij,i,j->n", same, w, w), listed
+
+
+def _linked(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, least: float) -> np.ndarray:
+    """Whether the cosine of each pair of rows is `least` or more, with values at the border taken again by exact sums."""
+    cosine = np.einsum("ij,ij->i", ux, uy)
     out = cosine >= least
-    for i, j in zip(*np.nonzero(np.abs(cosine - least) < 1e-12), strict=True):
-        x, y = a[i], b[j]
-        out[i, j] = math.fsum(x * y) / math.sqrt(math.fsum(x * x) * math.fsum(y * y)) >= least
+    for i in np.nonzero(np.abs(cosine - least) < 1e-12)[0]:
+        out[i] = math.fsum(x[i] * y[i]) / math.sqrt(math.fsum(x[i] * x[i]) * math.fsum(y[i] * y[i])) >= least
     return out
 
 
@@ -76,7 +108,7 @@ def _units(rows: pd.Series, stored: str) -> tuple[np.ndarray, np.ndarray]:
     return raw, raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def link(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding", prefix: int = PREFIX, least_shared: int = LEAST_SHARED) -> DataFrame:
+def link(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """key, n_links, component_id and kept for each row of vectors."""
     spark = vectors.sparkSession
     ship(spark)
@@ -88,7 +120,7 @@ def link(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: st
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     widths = [r["w"] for r in classes.select(F.size("v").alias("w")).distinct().collect()]
     stored = "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"
-    found = [_index(classes.where(F.size("v") == w), stored, least, prefix, least_shared) for w in sorted(widths)]
+    found = [_index(classes.where(F.size("v") == w), stored, least) for w in sorted(widths)]
     if found:
         local = found[0]
         for more in found[1:]:
@@ -111,64 +143,47 @@ def link(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: st
     )
 
 
-def _index(classes: DataFrame, stored: str, least: float, prefix: int, least_shared: int) -> DataFrame:
+def _index(classes: DataFrame, stored: str, least: float) -> DataFrame:
     """id, links, root of each class of one vector length in each block where it has a link."""
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "v").collect()
     seen = np.array([r["v"] for r in sorted(sample, key=lambda r: r["rep"])], float)
     seen = seen / np.abs(seen).max(axis=1, keepdims=True)
-    pivots = choose_pivots(seen, int(min(MOST_PIVOTS, max(32, 6 * math.sqrt(n)))))
-    described = cut(_described(classes, pivots, prefix, stored))
-    # at most MOST_PIVOTS numbers
-    sizes = {r["pivot"]: r["n"] for r in described.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = np.ones(len(pivots), np.int64)
-    for pivot, many in sizes.items():
-        blocks[pivot] = -(-many // BLOCK)
-
-    def listed(batches):
-        """A row for each list and pair of blocks in which a class stands."""
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            prefix_rows = np.stack([np.frombuffer(x, "<i4") for x in batch.column(3).to_pylist()]) if len(ids) else np.empty((0, 1), np.int32)
-            mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            at, pivot, low, high, own = [], [], [], [], []
-            for i, row in enumerate(prefix_rows):
-                for p in row:
-                    many = int(blocks[p])
-                    mine = int(mixed[i] % many)
-                    for other in range(many):
-                        at.append(i)
-                        pivot.append(p)
-                        low.append(min(mine, other))
-                        high.append(max(mine, other))
-                        own.append(mine)
-            take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int32()) for x in (pivot, low, high, own)] + [batch.column(j).take(take) for j in (0, 1, 2, 3)],
-                ["pivot", "low", "high", "own", "id", "n", "raw", "list"],
-            )
-
-    lists = described.select("rep", "n", "raw", "list").mapInArrow(listed, "pivot int, low int, high int, own int, id long, n long, raw binary, list binary")
-
-    def verified(key, rows: pd.DataFrame) -> pd.DataFrame:
+    many = max(32, min(int(6 * math.sqrt(n)), PIVOT_BYTES // (4 * seen.shape[1])))
+    described = cut(_described(classes, choose_pivots(seen, many).astype(np.float32), stored))
+    listed = described.select("rep", "n", "raw", "list", F.explode(F.slice("prefix", 1, LISTED)).alias("pivot"))
+    # one row for each pivot: the blocks of its list
+    sizes = listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    lists = (
+        listed.join(F.broadcast(sizes), "pivot")
+        .select("pivot", "rep", "n", "raw", "list", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.col("rep").alias("id"), "n", "raw", "list")
+    )
+
+    def verified(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pivot, low, high = key
         rows = rows.sort_values("id")
         raw, unit = _units(rows["raw"], stored)
-        lists_of = np.stack([np.frombuffer(x, "<i4") for x in rows["list"]])
+        prefix = np.stack([np.frombuffer(x, "<i4") for x in rows["list"]])
         own, many, ids = rows["own"].to_numpy(), rows["n"].to_numpy(), rows["id"].to_numpy()
         first, second = np.nonzero(own == low)[0], np.nonzero(own == high)[0]
-        hit = _linked(unit[first] @ unit[second].T, raw[first], raw[second], least)
-        i, j = np.nonzero(hit)
-        i, j = first[i], second[j]
-        once = (i < j) if low == high else np.ones(len(i), bool)
-        i, j = i[once], j[once]
+        a, b = retrieved(prefix[first], prefix[second])
+        a, b = first[a], second[b]
+        if low == high:
+            a, b = a[a < b], b[a < b]
+        found = []
+        for at in range(0, len(a), 8192):
+            x, y = a[at : at + 8192], b[at : at + 8192]
+            count, weight, least_pivot = shared(prefix[x], prefix[y])
+            mine = (least_pivot == pivot) & (count >= LEAST_SHARED) & (weight >= LEAST_WEIGHT)
+            x, y = x[mine], y[mine]
+            hit = _linked(raw[x], raw[y], unit[x], unit[y], least)
+            found.append((x[hit], y[hit]))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a in range(0, len(i), 8192):
-            x, y = lists_of[i[a : a + 8192]], lists_of[j[a : a + 8192]]
-            shared = (x[:, :, None] == y[:, None, :]).any(2)
-            mine = (np.where(shared, x, np.iinfo(np.int32).max).min(1) == pivot) & (shared.sum(1) >= least_shared)
-            np.add.at(links, i[a : a + 8192][mine], many[j[a : a + 8192][mine]])
-            np.add.at(links, j[a : a + 8192][mine], many[i[a : a + 8192][mine]])
+        np.add.at(links, i, many[j])
+        np.add.at(links, j, many[i])
         while True:  # least index reachable inside the block
             before = root.copy()
             np.minimum.at(root, i, root[j])
@@ -176,23 +191,24 @@ def _index(classes: DataFrame, stored: str, least: float, prefix: int, least_sha
             root = root[root]
             if (before == root).all():
                 break
-        linked = np.zeros(len(ids), bool)
-        linked[i] = linked[j] = True
+        linked = links > 0
         return pd.DataFrame({"id": ids[linked], "links": links[linked], "root": ids[root[linked]]})
 
     return lists.groupBy("pivot", "low", "high").applyInPandas(verified, "id long, links long, root long")
 
 
-def _described(classes: DataFrame, pivots: np.ndarray, prefix: int, stored: str) -> DataFrame:
+def _described(classes: DataFrame, pivots: np.ndarray, stored: str) -> DataFrame:
     """rep, n, raw components and prefix (as an array and as bytes) of each class."""
+    sent = classes.sparkSession.sparkContext.broadcast(pivots)
+    step = max(16, min(1024, 4_000_000 // len(pivots)))
 
     def described(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 given = np.array(part.column(2).to_pylist(), "<f8")
                 raw = given / np.abs(given).max(axis=1, keepdims=True)
-                near = prefixes(raw / np.linalg.norm(raw, axis=1, keepdims=True), pivots, prefix)
+                near = prefixes(raw / np.linalg.norm(raw, axis=1, keepdims=True), sent.value, PREFIX)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([x.tobytes() for x in given.astype(stored)], pa.binary()), pa.array([x.astype("<i4").tobytes() for x in near], pa.binary()), pa.array(list(near), pa.list_(pa.int32()))],
                     ["rep", "n", "raw", "list", "prefix"],

@@ -133,19 +133,71 @@ def test_embedding_links_equal_brute_force(spark):
     assert not sets and embeddings.link(df.limit(0)).count() == 0
 
 
-def test_pivot_recall():
-    """Of pairs at the threshold itself nearly all share a pivot, whatever the table's size."""
+def units(rng, many, width):
+    x = rng.normal(size=(many, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def at_cosine(rng, x, cosine):
+    """A vector at that cosine from each row of x."""
+    o = rng.normal(size=x.shape)
+    o -= (o * x).sum(1, keepdims=True) * x
+    return cosine * x + (1 - cosine**2) ** 0.5 * o / np.linalg.norm(o, axis=1, keepdims=True)
+
+
+def is_candidate(a, b):
+    count, weight, listed = embeddings.shared(a, b)
+    return (count >= embeddings.LEAST_SHARED) & (weight >= embeddings.LEAST_WEIGHT) & (listed < np.iinfo(np.int32).max)
+
+
+@pytest.mark.parametrize(("n", "recall", "most"), [(1_000, 0.998, 0.2), (50_000, 0.998, 0.01), (1_000_000, 0.995, 0.002)])
+def test_pivot_recall(n, recall, most):
+    """Pairs at the threshold itself are nearly all candidates, and few others are, the fewer the larger the table."""
     rng = np.random.default_rng(3)
-    for n in (1_000, 50_000):
-        pivots = embeddings.choose_pivots(rng.normal(size=(2000, 64)), int(6 * n**0.5))
-        x = rng.normal(size=(4000, 64))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        o = rng.normal(size=x.shape)
-        o -= (o * x).sum(1, keepdims=True) * x
-        y = 0.9 * x + (1 - 0.81) ** 0.5 * o / np.linalg.norm(o, axis=1, keepdims=True)
-        a, b = (embeddings.prefixes(z, pivots, embeddings.PREFIX) for z in (x, y))
-        shared = (a[:, :, None] == b[:, None, :]).any(2).sum(1)
-        assert (shared >= embeddings.LEAST_SHARED).mean() > 0.998
+    pivots = embeddings.choose_pivots(rng.normal(size=(2000, 64)), int(6 * n**0.5))
+    x, far = units(rng, 3000, 64), units(rng, 3000, 64)
+    a, b, c = (embeddings.prefixes(z, pivots, embeddings.PREFIX) for z in (x, at_cosine(rng, x, 0.9), far))
+    assert is_candidate(a, b).mean() > recall
+    assert np.mean([is_candidate(a, np.roll(c, k, axis=0)).mean() for k in range(10)]) < most
+
+
+def test_retrieval_keeps_all_candidates():
+    rng = np.random.default_rng(6)
+    lists = np.stack([rng.permutation(60)[: embeddings.PREFIX] for _ in range(400)]).astype(np.int32)
+    a, b = lists[:150], lists[150:]
+    i, j = embeddings.retrieved(a, b)
+    every = np.indices((150, 250)).reshape(2, -1)
+    count, weight, listed = embeddings.shared(a[every[0]], b[every[1]])
+    for at in range(0, every.shape[1], 997):  # by hand
+        x, y = list(a[every[0, at]]), list(b[every[1, at]])
+        both = set(x) & set(y)
+        n = embeddings.PREFIX
+        assert count[at] == len(both) and abs(weight[at] - sum((n - x.index(p)) * (n - y.index(p)) for p in both) / n**2) < 1e-9
+        assert listed[at] == min(set(x[: embeddings.LISTED]) & set(y[: embeddings.LISTED]), default=np.iinfo(np.int32).max)
+    wanted = set(map(tuple, every[:, weight >= embeddings.LEAST_WEIGHT].T.tolist()))
+    assert wanted <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 1.5 * len(wanted) + 100
+
+
+@pytest.mark.parametrize("n", [400, 6000])
+def test_links_of_pairs_near_the_threshold(spark, n):
+    """Recall over all links of a table in which each vector has others on both sides of 0.9."""
+    rng = np.random.default_rng(9)
+    x = units(rng, n // 4, 32)
+    table = np.concatenate([x, *(at_cosine(rng, x, c) for c in (0.9001, 0.93, 0.899))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(table)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.link(df).collect()}
+    wide = table.astype(float)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    wanted = ((wide @ wide.T) >= 0.9).sum(1) - 1
+    assert all(got[i] <= w for i, w in enumerate(wanted))  # none below the threshold
+    assert sum(got.values()) >= 0.99 * wanted.sum() > n
+
+
+def test_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 5, 6, 7, "r"), (2, [1.0, 0.01], 5, 6, 7, "s"), (2, [1.0, 0.01], 5, 6, 7, "s"), (3, [0.0, 1.0], 5, 6, 7, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, pivot int, n long, rep long, raw string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.link(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True)]
 
 
 def test_blocks_of_a_common_vector(spark, monkeypatch):
