@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from driftmark.llm.bpe import byte_bpe
 from driftmark.llm.rows import with_text_columns
+from driftmark.operators.common import small
 from driftmark.plans.cluster import cut, running
 
 REPETITION_LIMIT = 1.5
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, vocabulary: str, limit: float | None = REPETITION_LIMIT
         F.when(some, F.pow(_share(), F.lit(e - 1))).otherwise(1.0).alias("repetition"),
     ).withColumn("__dm_budget", F.round(F.col("__dm_total") * F.col("repetition")).cast("long"))
     passes = F.greatest(F.ceil(F.try_divide(F.col("__dm_budget"), F.col("__dm_total"))), F.lit(1)).cast("int")
-    each = lean.join(plan, "__dm_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(passes, F.lit(1)) - 1)))
+    each = lean.join(small(plan), "__dm_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(passes, F.lit(1)) - 1)))
     each = each.withColumn("__dm_order", F.xxhash64("doc_id", "epoch", F.lit(seed)))
     placed = running(
         each,
