@@ -5,13 +5,15 @@ l // 64 belongs to language l, so one look-up of a gram's slots, and-ed together
 contains it. A text's count for a language is the popcount of that bit over its grams, less
 what the filter's fill makes false positives of.
 
-The filters are learnt from a bounded sample: at most `per_language` rows of each language, by
-a hash of doc_id, and the first `sample_chars` code points of each. Predictions read whole
+The filters are learnt from the whole texts of a bounded sample: at most `per_language` documents of each language, by
+a hash of doc_id. Their grams are counted, compared between languages and turned into masks on the executors;
+what reaches the driver is the filters alone. Tables have SPACE slots or more for each gram of the language
+that has most, as far as FILTER_BYTES allow; fuller filters are corrected for all the same. Predictions read whole
 texts, and nothing but texts.
 
-Defined results: null text, or text without a letter -> `und` with score 0; letters but no
+Defined results: null text, or text without a letter (marks and digits alone are none) -> `und` with score 0; letters but no
 known gram -> the language that most rows have, score 0; equal counts -> the earlier name; no
-labelled row at all -> `und` everywhere; repeated rows each get a row; empty tables none.
+labelled row at all -> `und` everywhere; of the rows of a repeated doc_id in a language one is learnt from; repeated rows each get a row; empty tables none.
 """
 
 from __future__ import annotations
@@ -21,16 +23,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.llm.rows import with_text_columns
+from driftmark.plans.cluster import cut, ship
 
 UNKNOWN = "und"
 ORDERS = (3, 4)
 HASHES = 3
-#: log2 of a table's slots, each of one bit for every language.
-SLOT_BITS = 18
+#: Slots of a table for each gram of the language that has most, and log2 of the fewest.
+SPACE, LEAST_BITS = 8, 12
+#: Bytes of all tables together, which are sent to every task.
+FILTER_BYTES = 256_000_000
 #: Languages that a slot of a table has bits for.
 WORD = 64
 #: A language has a gram if its share there is at least this part of the gram's largest share.
@@ -45,6 +51,10 @@ def letters() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def grams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order, the hashes of all grams of the lower-cased words of texts, and whose they are.
 
@@ -98,59 +108,38 @@ def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The slots of grams in tables of 2 ** bits."""
+    mask = np.uint64((1 << bits) - 1)
+    step = h >> np.uint64(40) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return [(h + np.uint64(i) * step & mask).astype(np.int64) for i in range(HASHES)]
+
+
 class Filters:
     """The filters of any number of languages; slots has a row for each table of WORD languages."""
 
     def __init__(self, languages: list[str], slots: np.ndarray, fallback: int):
         self.languages, self.slots, self.fallback = languages, slots, fallback
+        self.bits = slots.shape[1].bit_length() - 1
         fill = np.array([((slots[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(languages))])
         self.false = fill**HASHES
 
-    @staticmethod
-    def places(h: np.ndarray) -> list[np.ndarray]:
-        mask = np.uint64((1 << SLOT_BITS) - 1)
-        step = h >> np.uint64(40) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            return [(h + np.uint64(i) * step & mask).astype(np.int64) for i in range(HASHES)]
-
-    @classmethod
-    def learn(cls, samples: dict[str, list[str]], rows: dict[str, int]) -> Filters:
-        """Filters from sample texts of each language; rows: how many rows have it."""
-        languages = sorted(samples)
-        slots = np.zeros((-(-len(languages) // WORD), 1 << SLOT_BITS), np.uint64)
-        grams_of = [counted(samples[x]) for x in languages]
-        for order in range(len(ORDERS)):
-            found = [g[order] for g in grams_of]
-            every = np.unique(np.concatenate([h for h, _ in found])) if found else np.empty(0, np.uint64)
-            # of one language at a time, so that memory doesn't grow with languages times grams
-            most, often = np.zeros(len(every)), np.zeros(len(every), np.int64)
-            for h, n in found:
-                at = np.searchsorted(every, h)
-                most[at] = np.maximum(most[at], n / max(1, n.sum()))
-                often[at] = np.maximum(often[at], n)
-            for i, (h, n) in enumerate(found):
-                at = np.searchsorted(every, h)
-                has = (n / max(1, n.sum()) >= LEAST_PART * most[at]) & (n >= np.minimum(2, often[at]))
-                for place in cls.places(h[has]):
-                    slots[i // WORD, place] |= np.uint64(1 << i % WORD)
-        fallback = max(range(len(languages)), key=lambda i: (rows.get(languages[i], 0), -i), default=0)
-        return cls(languages, slots, fallback)
-
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Corrected part of each text's grams that each language has; -1 for texts without a letter."""
         counts, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for h, owner in grams(texts):
-            places = self.places(h)
+            at = places(h, self.bits)
             total += np.bincount(owner, minlength=len(texts))
             for first, slots in zip(range(0, len(self.languages), WORD), self.slots, strict=True):
                 mask = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
-                for place in places:
+                for place in at:
                     mask &= slots[place]
                 for i in range(first, min(first + WORD, len(self.languages))):
                     counts[:, i] += np.bincount(owner[(mask >> np.uint64(i - first) & np.uint64(1)).astype(bool)], minlength=len(texts))
         part = counts / np.maximum(total, 1)[:, None]
         part = np.clip((part - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
-        part[total == 0] = -1
+        part[[not has_letter(t) for t in texts]] = -1
         return part
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -169,27 +158,89 @@ class Filters:
         return names, np.array(scores)
 
 
-def fit(docs: DataFrame, training: Column, per_language: int = 1000, sample_chars: int = 20_000) -> Filters:
-    """Filters learnt from the rows that `training` holds for and whose lang is not null."""
+def sampled(docs: DataFrame, training: Column, per_language: int) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, text) of at most `per_language` documents of each language that `training` holds for, and each language's rows."""
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    told = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()
+    rows = {r["lang"]: r["n"] for r in told}
     if not rows:
-        return Filters([], np.zeros((0, 1 << SLOT_BITS), np.uint64), 0)
-    # twice the wanted part of each language by hash, then the least hashes of that small rest
-    parts = F.create_map(*[x for k, n in rows.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_language / n)))])
+        return known.select("lang", "text"), rows
+    # about twice the wanted part of each language by hash, then the least hashes of that small rest
+    parts = F.create_map(*[x for r in told for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * per_language / max(1, r["ids"]))))])
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30))
-    some = known.where(h < parts[F.col("lang")] * (1 << 30)).select("lang", F.substring("text", 1, sample_chars).alias("text"), h.alias("h"))
-    # cut in Spark, since equal doc_ids share a hash
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    samples: dict[str, list[tuple]] = {}
-    for r in some.withColumn("n", first).where(F.col("n") <= per_language).collect():
-        samples.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return Filters.learn({k: [t for _, t in sorted(v)] for k, v in samples.items()}, rows)
+    some = known.where(h < parts[F.col("lang")] * (1 << 30)).select("lang", "doc_id", "text", h.alias("h"))
+    # one row of each id before rows are ranked: many rows of one id share a hash
+    single = some.groupBy("lang", "h", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return single.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "text"), rows
+
+
+def _counts(sample: DataFrame) -> DataFrame:
+    """(lang, size, gram, n): how often each gram occurs in the texts of each language."""
+
+    def told(batches):
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                for size, (h, n) in zip(ORDERS, counted(own), strict=True):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(h), pa.string()), pa.array([size] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "size", "gram", "n"]
+                    )
+
+    return sample.mapInArrow(told, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+
+
+def members(sample: DataFrame) -> DataFrame:
+    """(lang, gram): the grams that a language's filter holds.
+
+    A language has a gram if its share there is LEAST_PART of the gram's largest share or more, and it isn't a
+    single find where another language has more.
+    """
+    counts = cut(_counts(sample))
+    totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
+    best = shares.groupBy("size", "gram").agg(F.max("share").alias("most"), F.max("n").alias("often"), F.collect_list(F.struct("lang", "n", "share")).alias("all"))
+    each = best.select("gram", "most", "often", F.explode("all").alias("one")).select("gram", "most", "often", "one.*")
+    return each.where((F.col("share") >= LEAST_PART * F.col("most")) & (F.col("n") >= F.least(F.lit(2), F.col("often")))).select("lang", "gram")
+
+
+def fit(docs: DataFrame, training: Column, per_language: int = 1000) -> Filters:
+    """Filters learnt from the rows that `training` holds for and whose lang is not null."""
+    ship(docs.sparkSession)
+    sample, rows = sampled(docs, training, per_language)
+    if not rows:
+        return Filters([], np.zeros((0, 1), np.uint64), 0)
+    languages = sorted(rows)
+    tables = -(-len(languages) // WORD)
+    held = cut(members(sample))
+    largest = held.groupBy("lang").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    most_bits = (FILTER_BYTES // (8 * tables)).bit_length() - 1
+    bits = max(LEAST_BITS, min((SPACE * largest - 1).bit_length(), most_bits))
+    index = {x: i for i, x in enumerate(languages)}
+
+    def masked(batches):
+        for batch in batches:
+            at = np.array([index[x] for x in batch.column(0).to_pylist()], np.int64)
+            for slot in places(batch.column(1).to_numpy().view(np.uint64), bits):
+                key, back = np.unique((at // WORD << bits) + slot, return_inverse=True)
+                mask = np.zeros(len(key), np.uint64)
+                np.bitwise_or.at(mask, back, np.uint64(1) << (at % WORD).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mask.view(np.int64))], ["slot", "mask"])
+
+    # at most FILTER_BYTES of masks
+    found = held.select("lang", "gram").mapInArrow(masked, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots = np.zeros(tables << bits, np.uint64)
+    slots[found.column("slot").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    fallback = max(range(len(languages)), key=lambda i: (rows[languages[i]], -i))
+    return Filters(languages, slots.reshape(tables, 1 << bits), fallback)
 
 
 def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep` of docs (all by default) with the language and score of each whole text."""
-    return with_text_columns(docs, filters.predict, dict(zip(names, ("string", "double"), strict=True)), keep)
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    return with_text_columns(docs, lambda texts: sent.value.predict(texts), dict(zip(names, ("string", "double"), strict=True)), keep)
 
 
 def identified(docs: DataFrame, filters: Filters, least_score: float = 0.2) -> DataFrame:

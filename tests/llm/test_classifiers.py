@@ -1,4 +1,6 @@
 import random
+import unicodedata
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -66,18 +68,89 @@ def _tongues(n, seed=1):
     return [" ".join(rng.choices(WORDS[x].split(), k=rng.randint(3, 40))) for x in langs], langs
 
 
-def test_filters_hold_every_gram_and_few_others():
-    texts, langs = _tongues(300)
-    filters = language.Filters.learn({x: [t for t, y in zip(texts, langs, strict=True) if x == y] for x in WORDS}, {})
-    part = filters.shares(texts)
-    for row, x in zip(part, langs, strict=True):
-        assert row[filters.languages.index(x)] > 0.97  # a Bloom filter forgets nothing that was put in
-    assert (filters.false < 0.01).all()
+def plain_grams(text):
+    """The 3- and 4-grams of a text, as strings."""
+    line = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in f" {text.lower()} ")
+    line = " " + "".join(c for i, c in enumerate(line) if c != " " or i and line[i - 1] != " ").strip() + " "
+    return [line[i : i + n] for n in (3, 4) for i in range(len(line) - n + 1)]
+
+
+def plain_members(texts, langs):
+    """Language -> its grams, by the rule on exact counts."""
+    counts = {x: Counter() for x in langs}
+    for t, x in zip(texts, langs, strict=True):
+        counts[x].update(plain_grams(t))
+    total = {(x, n): sum(v for g, v in c.items() if len(g) == n) for x, c in counts.items() for n in (3, 4)}
+    out = {x: set() for x in counts}
+    for g in set().union(*counts.values()):
+        share = {x: counts[x][g] / total[x, len(g)] for x in counts if counts[x][g]}
+        often = max(counts[x][g] for x in share)
+        out_of = [x for x in share if share[x] >= language.LEAST_PART * max(share.values()) and counts[x][g] >= min(2, often)]
+        for x in out_of:
+            out[x].add(g)
+    return out
+
+
+def test_filters_against_exact_sets(spark, make_docs):
+    """What is learnt, and what texts are given, equal exact gram sets up to the filters' false positives."""
+    rng = random.Random(3)
+    texts, langs = _tongues(240)
+    for i in range(0, 240, 3):  # shared words, rare words, words of another language
+        texts[i] += " " + rng.choice(["gemeinsam", "river", "quiz jong", "x" + str(i), "óleo vex"]) + "\u0301 it's 42,7"
+    docs = make_docs(texts, langs=langs)
+    wanted = plain_members(texts, langs)
+    held = Counter(r["lang"] for r in language.members(docs.select("lang", "text")).collect())
+    assert held == {x: len(g) for x, g in wanted.items()}
+    filters = language.fit(docs, F.lit(True))
+    unseen, _ = _tongues(60, seed=9)
+    told = filters.shares([*texts, *unseen, "etwas ganz anderes", "x", "42", None])
+    for t, row in zip([*texts, *unseen, "etwas ganz anderes", "x"], told, strict=False):
+        own = plain_grams(t)
+        for x, got in zip(filters.languages, row, strict=True):
+            exact = sum(g in wanted[x] for g in own) / len(own)
+            assert abs(got - exact) <= 0.03 + 2 / len(own) * (exact < 1 and len(own) < 40)
+    assert (told[-2:] == -1).all() and (filters.false < 0.05).all()
+
+
+def test_marks_and_digits_are_no_letters(spark, make_docs):
+    texts, langs = _tongues(60)
+    filters = language.fit(make_docs(texts, langs=langs), F.lit(True))
+    none = ["\u0301", "\u0301\u0308 12", "٣٤", "!?", " ", "", None, "\u20dd", "①②", "😀"]
+    some = ["é", "e\u0301", "ª", "日", "x"]
+    assert [filters.predict([t])[0][0] for t in none] == ["und"] * len(none)
+    assert all(name != "und" for name in filters.predict(some)[0])
+
+
+def test_tables_grow_with_the_grams(spark, make_docs):
+    rng = random.Random(7)
+    texts = ["".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(300)) for _ in range(120)]
+    few = language.fit(make_docs(texts[:4], langs=["zh"] * 4), F.lit(True))
+    many = language.fit(make_docs(texts, langs=["zh"] * 120), F.lit(True))
+    assert many.bits > few.bits >= language.LEAST_BITS and many.false[0] < 0.05
+
+
+def test_whole_texts_are_learnt_from(spark, make_docs):
+    """Words far behind a long common beginning count."""
+    head = "lorem ipsum dolor " * 9_000
+    docs = make_docs([head + "zwart quiz jong " * 500, head + "ñandú óleo ígneo " * 500], langs=["bb", "cc"])
+    filters = language.fit(docs, F.lit(True))
+    assert filters.predict(["zwart jong", "óleo ígneo"])[0] == ["bb", "cc"]
+
+
+def test_repeated_ids_of_a_language(spark, make_docs):
+    """Thousands of rows of one id, or of none, stand for one row, and push nothing out."""
+    texts, langs = _tongues(90)
+    ids = [*range(90), *[0] * 1500, *[None] * 1500]
+    docs = make_docs([*texts, *[texts[0]] * 1500, *[texts[1]] * 1500], langs=[*langs, *[langs[0]] * 1500, *[langs[1]] * 1500], ids=ids)
+    sample, rows = language.sampled(docs, F.lit(True), 40)
+    assert rows[langs[0]] == 1530 and {r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()} <= set(range(20, 41))
+    told = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, language.fit(docs, F.lit(True), 40), ["doc_id"]).collect() if r["doc_id"] is not None}
+    assert [told[i] for i in range(90)] == langs
 
 
-def test_chunks_don_t_change_predictions():
+def test_chunks_don_t_change_predictions(spark, make_docs):
     texts, langs = _tongues(60)
-    filters = language.Filters.learn({x: [t for t, y in zip(texts, langs, strict=True) if x == y] for x in WORDS}, {})
+    filters = language.fit(make_docs(texts, langs=langs), F.lit(True))
     one = filters.predict(texts)
     before, language.CHUNK = language.CHUNK, 50
     try:
