@@ -1,7 +1,11 @@
 """Media columns: texts stored as TIFF pages, and TIFF columns read as one row per page.
 
+Texts are stored in all ways that the writer knows (strips and tiles; deflate, PackBits and LZW; with and
+without the horizontal predictor), dealt out by a checksum of the text, so that reading a column back meets them all.
+
 Defined results: null text is the empty payload (one padding unit of zero bytes); a null or
-unreadable media value gives one row with page -1, null samples and the reason in `error`;
+unreadable media value gives a row with page -1, null samples and the reason in `error`, behind the pages before the fault;
+no value makes the job fail, and no page is read that its stored bytes couldn't give;
 empty tables give no rows; columns besides those named are ignored; equal texts give equal
 stored bytes and features.
 """
@@ -31,14 +35,32 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (UNIT if not raw else -len(raw) % UNIT)
 
 
-def to_tiff(data: bytes, compression: int = tiff.DEFLATE, predictor: int = 1) -> bytes:
+#: The ways of storing a payload that `encode` deals out: compression, predictor, tile.
+WAYS = [
+    (tiff.DEFLATE, 1, None),
+    (tiff.DEFLATE, 2, None),
+    (tiff.DEFLATE, 1, (32, 32)),
+    (tiff.DEFLATE, 2, (48, 48)),
+    (tiff.PACKBITS, 1, None),
+    (tiff.PACKBITS, 2, (32, 64)),
+    (tiff.LZW, 1, None),
+    (tiff.LZW, 2, (32, 32)),
+]
+
+
+def to_tiff(data: bytes, compression: int = tiff.DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None) -> bytes:
     """Bytes as 8-bit samples of pages UNIT wide."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, UNIT)
-    return tiff.write([rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)], compression, predictor)
+    return tiff.write([rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)], compression, predictor, tile=tile)
+
+
+def way_of(data: bytes) -> tuple[int, int, tuple[int, int] | None]:
+    """The way in which a payload is stored: it follows from its bytes, so equal texts give equal files."""
+    return WAYS[zlib.crc32(data) % len(WAYS)]
 
 
-def encode(docs: DataFrame, compression: int = tiff.DEFLATE, predictor: int = 1) -> DataFrame:
-    """doc_id, n_bytes and the TIFF `media` of each row's text."""
+def encode(docs: DataFrame, way: tuple[int, int, tuple[int, int] | None] | None = None) -> DataFrame:
+    """doc_id, n_bytes and the TIFF `media` of each row's text: stored in that way, or in all ways by turns."""
     ship(docs.sparkSession)
 
     def stored(batches):
@@ -47,7 +69,7 @@ def encode(docs: DataFrame, compression: int = tiff.DEFLATE, predictor: int = 1)
             for at in range(0, len(ids), BATCH):
                 made = [payload(t) for t in texts[at : at + BATCH].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at : at + BATCH], pa.array([n for n, _ in made], pa.int64()), pa.array([to_tiff(b, compression, predictor) for _, b in made], pa.binary())],
+                    [ids[at : at + BATCH], pa.array([n for n, _ in made], pa.int64()), pa.array([to_tiff(b, *(way or way_of(b))) for _, b in made], pa.binary())],
                     ["doc_id", "n_bytes", "media"],
                 )
 

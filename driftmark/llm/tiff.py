@@ -7,6 +7,7 @@ floating-point predictors and yields one array for each page.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,9 +43,12 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def pack_bits(data: bytes) -> bytes:
     """PackBits of data: runs of three or more become a run, the rest literals."""
-    out, at, literal = bytearray(), 0, 0
+    out, literal = bytearray(), 0
 
     def flush(end: int) -> None:
         for a in range(literal, end, 128):
@@ -52,15 +56,10 @@ def pack_bits(data: bytes) -> bytes:
             out.append(len(part) - 1)
             out.extend(part)
 
-    while at < len(data):
-        end = at + 1
-        while end < len(data) and end - at < 128 and data[end] == data[at]:
-            end += 1
-        if end - at >= 3:
-            flush(at)
-            out += bytes((257 - (end - at), data[at]))
-            literal = end
-        at = end
+    for run in RUN.finditer(data):
+        flush(run.start())
+        out += bytes((257 - (run.end() - run.start()), data[run.start()]))
+        literal = run.end()
     flush(len(data))
     return bytes(out)
 
@@ -137,16 +136,23 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decoded(data: bytes, compression: int) -> bytes:
+#: Bytes that a stored byte can give at most, by the formats: a run of 128 from 2; a match of 258 from 2 bits; an entry of some 3,800 from 9 bits.
+MOST_FROM_A_BYTE = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 3640}
+
+
+def _decoded(data: bytes, compression: int, need: int) -> bytes:
+    """The first `need` bytes that a strip or tile gives."""
     if compression == NONE:
-        return data
-    if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    if compression == PACKBITS:
-        return unpack_bits(data)
-    if compression == LZW:
-        return unpack_lzw(data)
-    raise TiffError(f"compression {compression} is not known")
+        out = data
+    elif compression in (DEFLATE, OLD_DEFLATE):
+        out = zlib.decompressobj().decompress(data, need)
+    elif compression == PACKBITS:
+        out = unpack_bits(data)
+    else:
+        out = unpack_lzw(data)
+    if len(out) < need:
+        raise TiffError("a strip or tile is too short")
+    return out[:need]
 
 
 def _undone(rows: np.ndarray, predictor: int, order: str) -> np.ndarray:
@@ -189,41 +195,54 @@ def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, t
 
 
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
-    one = lambda tag, other=None: tags[tag][0] if tag in tags else other
+    def one(tag: int, other: int | None = None) -> int:
+        found = tags[tag][0] if tags.get(tag) else other
+        if not isinstance(found, int) or found < 1:
+            raise TiffError(f"field {tag} is missing or no positive number")
+        return found
+
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    if not width or not height:
-        raise TiffError("a page has no size")
     bits = set(tags.get(BITS, (1,)))
     kind = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1))
     if len(bits) != 1 or (depth := bits.pop()) not in (8, 16, 32, 64) or kind is None or kind == "f" and depth < 32:
         raise TiffError("only samples of 8, 16, 32 or 64 bits are read")
     dtype = np.dtype(f"{order}{kind}{depth // 8}")
+    compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if compression not in MOST_FROM_A_BYTE:
+        raise TiffError(f"compression {compression} is not known")
     apart = one(PLANAR, 1) == 2
     planes, deep = (samples, 1) if apart else (1, samples)
     tiled = TILE_AT in tags
     part_w, part_h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(STRIP_ROWS, height), height))
     offsets, sizes = (tags[TILE_AT], tags[TILE_SIZE]) if tiled else (tags[STRIP_AT], tags[STRIP_SIZE])
+    if not all(isinstance(x, int) and x >= 0 for x in (*offsets, *sizes)):
+        raise TiffError("places of strips or tiles are no whole numbers")
     across, down = -(-width // part_w), -(-height // part_h)
     if len(offsets) < planes * across * down or len(sizes) < planes * across * down:
         raise TiffError("parts of a page are missing")
+
+    def need(i: int) -> int:
+        rows = part_h if tiled else min(part_h, height - i % (across * down) * part_h)
+        return rows * part_w * deep * dtype.itemsize
+
+    # before memory is asked for: what is stored must be able to give that much
+    for i in range(planes * across * down):
+        if need(i) > max(0, min(sizes[i], len(data) - offsets[i])) * MOST_FROM_A_BYTE[compression]:
+            raise TiffError("a strip or tile is too short")
     page = np.empty((height, width, samples), dtype.newbyteorder("="))
     for i in range(planes * across * down):
         plane, inside = divmod(i, across * down)
         y, x = inside // across * part_h, inside % across * part_w
         rows = part_h if tiled else min(part_h, height - y)
-        raw = _decoded(data[offsets[i] : offsets[i] + sizes[i]], one(COMPRESSION, NONE))
-        need = rows * part_w * deep * dtype.itemsize
-        if len(raw) < need:
-            raise TiffError("a strip or tile is too short")
-        part = np.frombuffer(raw[:need], dtype).reshape(rows, part_w, deep)
-        part = _undone(part, one(PREDICTOR, 1), order)
+        raw = _decoded(data[offsets[i] : offsets[i] + sizes[i]], compression, need(i))
+        part = _undone(np.frombuffer(raw, dtype).reshape(rows, part_w, deep), predictor, order)
         h, w = min(rows, height - y), min(part_w, width - x)
         page[y : y + h, x : x + w, plane : plane + deep if apart else samples] = part[:h, :w]
     return page
 
 
 def pages(data: bytes) -> Iterator[np.ndarray]:
-    """Each page of a TIFF as an array (height, width, samples); TiffError if it can't be read."""
+    """Each page of a TIFF as an array (height, width, samples); TiffError, and nothing else, if it can't be read."""
     try:
         order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
         (version,) = struct.unpack_from(order + "H", data, 2)
@@ -238,33 +257,36 @@ def pages(data: bytes) -> Iterator[np.ndarray]:
             seen.add(at)
             tags, at = _directory(data, at, order, big)
             yield _page(data, tags, order)
-    except (KeyError, struct.error, zlib.error, IndexError) as e:
+    except TiffError:
+        raise
+    except (KeyError, IndexError, ValueError, OverflowError, MemoryError, struct.error, zlib.error) as e:
         raise TiffError(f"broken TIFF: {e!r}") from e
 
 
-def write(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = 128, level: int = 6) -> bytes:
-    """A little-endian TIFF of 8-bit grey pages (height, width), in strips."""
+def write(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = 128, level: int = 6, tile: tuple[int, int] | None = None) -> bytes:
+    """A little-endian TIFF of 8-bit grey pages (height, width), in strips, or in tiles of a height and width."""
     pack = {NONE: bytes, DEFLATE: lambda b: zlib.compress(b, level), PACKBITS: pack_bits, LZW: pack_lzw}[compression]
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
     for image in images:
         height, width = image.shape
-        stored = image
-        if predictor == 2:
-            stored = image.copy()
-            stored[:, 1:] = image[:, 1:] - image[:, :-1]
+        rows, columns = tile or (strip_rows, width)
         offsets, sizes = [], []
-        for y in range(0, height, strip_rows):
-            part = pack(stored[y : y + strip_rows].tobytes())
-            offsets.append(len(out))
-            sizes.append(len(part))
-            out += part + b"\0" * (len(part) % 2)
-        fields = {
-            WIDTH: [width], HEIGHT: [height], BITS: [8], COMPRESSION: [compression], PHOTOMETRIC: [1],
-            STRIP_AT: offsets, SAMPLES: [1], STRIP_ROWS: [strip_rows], STRIP_SIZE: sizes, PREDICTOR: [predictor],
-        }
+        for y in range(0, height, rows):
+            for x in range(0, width, columns):
+                part = image[y : y + rows, x : x + columns]
+                if tile and part.shape != tile:
+                    part = np.pad(part, [(0, rows - part.shape[0]), (0, columns - part.shape[1])])
+                if predictor == 2:
+                    part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
+                stored = pack(part.tobytes())
+                offsets.append(len(out))
+                sizes.append(len(stored))
+                out += stored + b"\0" * (len(stored) % 2)
+        fields = {WIDTH: [width], HEIGHT: [height], BITS: [8], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
+        fields |= {TILE_WIDTH: [columns], TILE_HEIGHT: [rows], TILE_AT: offsets, TILE_SIZE: sizes} if tile else {STRIP_AT: offsets, STRIP_ROWS: [strip_rows], STRIP_SIZE: sizes}
         entries = b""
-        for tag, values in fields.items():
+        for tag, values in sorted(fields.items()):
             if len(values) == 1:
                 entries += struct.pack("<HHII", tag, 4, 1, values[0])
             else:

@@ -101,18 +101,62 @@ def test_planes_and_float_predictor():
     assert (page == image).all()
 
 
-@settings(max_examples=200)
-@given(st.binary(max_size=200), st.integers(0, 400), st.integers(0, 255))
-def test_broken_files_are_told(data, at, value):
-    good = bytearray(tiff.write([np.arange(256, dtype=np.uint8).reshape(4, 64)]))
-    good[at % len(good)] = value
-    for broken in (data, b"II*\0" + data, bytes(good), bytes(good[: at % len(good)])):
+SOME = [tiff.write([np.arange(256, dtype=np.uint8).reshape(4, 64)] * 2, *way[:2], tile=way[2]) for way in [(tiff.NONE, 1, None), *media.WAYS]]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.binary(max_size=200), st.sampled_from(SOME), st.lists(st.tuples(st.integers(0, 10_000), st.sampled_from([0, 1, 2, 7, 127, 128, 255])), max_size=6), st.integers(0, 10_000))
+def test_broken_files_are_told(data, good, changes, end):
+    """Whatever the bytes, pages are read or TiffError is raised: nothing else."""
+    broken = bytearray(good)
+    for at, value in changes:
+        broken[at % len(broken)] = value
+    for x in (data, b"II*\0" + data, bytes(broken), bytes(broken[: end % len(broken)])):
         try:
-            list(tiff.pages(broken))
+            for page in tiff.pages(x):
+                assert page.ndim == 3 and page.size
         except tiff.TiffError:
             pass
-        except (MemoryError, ValueError):
-            pass
+
+
+BASE = {tiff.WIDTH: (4, [8]), tiff.HEIGHT: (4, [8]), tiff.BITS: (3, [8]), tiff.COMPRESSION: (3, [1]), tiff.SAMPLES: (3, [1])}
+STRIPS = BASE | {tiff.STRIP_ROWS: (4, [8])}
+TILES = BASE | {tiff.TILE_WIDTH: (4, [8]), tiff.TILE_HEIGHT: (4, [8])}
+
+
+@pytest.mark.parametrize(
+    "tags",
+    [
+        STRIPS | {tiff.STRIP_ROWS: (4, [0])}, STRIPS | {tiff.SAMPLES: (3, [0])}, STRIPS | {tiff.WIDTH: (4, [0])}, STRIPS | {tiff.HEIGHT: (4, [2**32 - 1])},
+        STRIPS | {tiff.WIDTH: (4, [2**32 - 1]), tiff.HEIGHT: (4, [2**32 - 1]), tiff.COMPRESSION: (3, [8])}, STRIPS | {tiff.WIDTH: (11, [float("inf")])},
+        STRIPS | {tiff.COMPRESSION: (3, [9])}, STRIPS | {tiff.PREDICTOR: (3, [3])}, STRIPS | {tiff.PREDICTOR: (3, [9])}, STRIPS | {tiff.BITS: (3, [])},
+        TILES | {tiff.TILE_WIDTH: (4, [0])}, TILES | {tiff.TILE_HEIGHT: (4, [0])}, TILES | {tiff.TILE_WIDTH: (4, [2**31])}, TILES | {tiff.WIDTH: (4, [2**31])},
+    ],
+)
+def test_odd_fields_are_told(spark, tags):
+    data = _file("<", tags, [b"x" * 64])
+    with pytest.raises(tiff.TiffError):
+        list(tiff.pages(data))
+    rows = media.read_pages(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary")).collect()
+    assert [(r["doc_id"], r["page"], r["samples"]) for r in rows] == [(1, -1, None)] and rows[0]["error"]
+
+
+@pytest.mark.parametrize("tile", [(16, 16), (32, 48), (64, 64)])
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.DEFLATE, tiff.PACKBITS, tiff.LZW])
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_tiles_round_trip(tile, compression, predictor):
+    images = [np.random.default_rng(h).integers(0, 9, (h, w)).astype(np.uint8) for h, w in ((1, 1), (64, 64), (100, 70), (17, 5))]
+    back = list(tiff.pages(tiff.write(images, compression, predictor, tile=tile)))
+    assert all((a == b[:, :, 0]).all() for a, b in zip(images, back, strict=True)) and len(back) == 4
+
+
+def test_all_ways_are_dealt_out_and_read_as_pages(spark, make_docs):
+    texts = [f"text {i} " * (i % 50) for i in range(120)]
+    docs = make_docs(texts)
+    assert {media.way_of(media.payload(t)[1]) for t in texts} == set(media.WAYS)
+    rows = media.read_pages(media.encode(docs)).collect()
+    assert {r["error"] for r in rows} == {None}
+    assert {r["doc_id"]: bytes(r["samples"]).rstrip(b"\0").decode() for r in rows} == dict(enumerate(texts))
 
 
 def test_digest(spark, make_docs, odd_texts):
@@ -122,7 +166,7 @@ def test_digest(spark, make_docs, odd_texts):
         padded = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        stored = media.to_tiff(padded)
+        stored = media.to_tiff(padded, *media.way_of(padded))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert rows[3]["feature"] == rows[4]["feature"]
     assert media.digest(media.encode(make_docs(["x"]).limit(0))).count() == 0
@@ -130,7 +174,7 @@ def test_digest(spark, make_docs, odd_texts):
 
 def test_read_pages(spark, make_docs):
     long = "line of text\n" * 60_000
-    encoded = media.encode(make_docs([long, "short"]), tiff.LZW, 2)
+    encoded = media.encode(make_docs([long, "short"]), (tiff.LZW, 2, None))
     bad = spark.createDataFrame([(7, None), (8, bytearray(b"no tiff"))], "doc_id long, media binary")
     rows = media.read_pages(encoded.select("doc_id", "media").unionByName(bad)).orderBy("doc_id", "page").collect()
     first = [r for r in rows if r["doc_id"] == 0]
