@@ -165,7 +165,7 @@ def test_retrieval_keeps_all_candidates():
     rng = np.random.default_rng(6)
     lists = np.stack([rng.permutation(60)[: embeddings.PREFIX] for _ in range(400)]).astype(np.int32)
     a, b = lists[:150], lists[150:]
-    i, j = embeddings.retrieved(a, b)
+    i, j = np.nonzero(embeddings.retrieved(a, b))
     every = np.indices((150, 250)).reshape(2, -1)
     count, weight, listed = embeddings.shared(a[every[0]], b[every[1]])
     for at in range(0, every.shape[1], 997):  # by hand
@@ -175,7 +175,7 @@ def test_retrieval_keeps_all_candidates():
         assert count[at] == len(both) and abs(weight[at] - sum((n - x.index(p)) * (n - y.index(p)) for p in both) / n**2) < 1e-9
         assert listed[at] == min(set(x[: embeddings.LISTED]) & set(y[: embeddings.LISTED]), default=np.iinfo(np.int32).max)
     wanted = set(map(tuple, every[:, weight >= embeddings.LEAST_WEIGHT].T.tolist()))
-    assert wanted <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 1.5 * len(wanted) + 100
+    assert wanted <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 2 * len(wanted) + 100
 
 
 @pytest.mark.parametrize("n", [400, 6000])
