@@ -34,15 +34,3 @@ def lower_bound(q: str = "q", low: str = "mn", high: str = "mx") -> Column:
     """Squared distance from a vector to a box, 0 inside."""
     gaps = [F.greatest(F.col(f"{low}{i}") - F.col(f"{q}{i}"), F.col(f"{q}{i}") - F.col(f"{high}{i}"), F.lit(0)).cast("long") for i in range(DIMS)]
     return _sum([g * g for g in gaps])
-
-
-def squared_distance(a: str = "q", b: str = "v") -> Column:
-    """Squared distance of two quantized vectors as a long; differences are widened before they are squared."""
-    steps = [F.col(f"{a}{i}").cast("long") - F.col(f"{b}{i}") for i in range(DIMS)]
-    return _sum([s * s for s in steps])
-
-
-def squared_distance_float(a: str, b: str) -> Column:
-    """Squared distance of two feature vectors in double precision, summed from left to right."""
-    steps = [F.col(f"{a}{i}").cast("double") - F.col(f"{b}{i}").cast("double") for i in range(DIMS)]
-    return _sum([s * s for s in steps])

@@ -26,6 +26,11 @@ def nearest(candidates: DataFrame, order: list[str], k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def others(found: DataFrame, k: int, key: str = "ref_id") -> DataFrame:
+    """Of the k + 1 nearest stored rows of each query the k that aren't the query itself, with their rank from 1."""
+    return nearest(found.where(F.col("qid") != F.col(key)).withColumnRenamed("rank", "__dm_rank"), ["__dm_rank"], k).drop("__dm_rank")
+
+
 def outcome(queries: DataFrame, neighbours: DataFrame, total: Column | None = None) -> DataFrame:
     """(qid, frauds, total) for every query; one without neighbours has (0, 0)."""
     counted = neighbours.groupBy("qid").agg(F.sum("fraud").alias("frauds"), F.count(F.lit(1)).alias("total"))

@@ -1,82 +1,46 @@
-"""Exact nearest neighbours: a stated set of queries against every reference."""
+"""Exact nearest neighbours: a stated set of queries, in blocks, against every reference."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.functions.quantize import squared_distance, squared_distance_float
-from driftmark.operators.common import BROADCAST_ROWS, nearest
-from driftmark.plans.cluster import ship
-
-#: Distances computed at once: queries x references of a block.
-BLOCK_CELLS = 4_000_000
+from driftmark.operators.blocks import everywhere, in_blocks, in_order, of_integers, scan
+from driftmark.operators.common import BROADCAST_ROWS, G, Q, V, nearest
 
 
 def knn(queries: DataFrame, references: DataFrame, k: int = 5, most_queries: int = BROADCAST_ROWS) -> DataFrame:
-    """(qid, ref_id, fraud, dist, rank): the k nearest by squared distance of quantized vectors; ties by ref_id.
+    """(qid, ref_id, fraud, dist, rank): the k nearest by squared distance of quantized vectors; ties by ref_id."""
+    return everywhere(queries, references, Q, V, np.float64, of_integers, k, "long", most_queries)
+
+
+def knn_float(queries: DataFrame, references: DataFrame, k: int = 5, single: bool = False, most_queries: int = BROADCAST_ROWS) -> DataFrame:
+    """As `knn` on the unquantized features, in double precision or, for `single`, with 32-bit sums."""
+    dtype, kind = (np.float32, "float") if single else (np.float64, "double")
+    return everywhere(queries, references, G, [f"f{i}" for i in range(14)], dtype, in_order, k, kind, most_queries)
 
-    Up to `most_queries` queries go to every task; each batch of references is reduced to k
-    rows for a query by a matrix product before anything is shuffled. Sums of 14 squares of
-    such integers are exact in double precision. More queries are joined in the JVM.
-    """
-    names = [f"q{i}" for i in range(14)]
-    held = queries.select("qid", *names).limit(most_queries + 1).toPandas()
-    if len(held) > most_queries:
-        pairs = queries.select("qid", *names).crossJoin(references.select("ref_id", "fraud", *[f"v{i}" for i in range(14)]))
-        return nearest(pairs.select("qid", "ref_id", "fraud", squared_distance().alias("dist")), ["dist", "ref_id"], k)
-    ship(references.sparkSession)
-    ids, q = held["qid"].to_numpy(np.int64), held[names].to_numpy(float)
-    q_norm = (q * q).sum(1)
 
-    def reduced(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            ref, fraud = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.argsort(ref, kind="stable")  # equal distances fall to the lower id
-            ref, fraud = ref[order], fraud[order]
-            v = np.stack([batch.column(i + 2).to_numpy() for i in range(14)], 1).astype(float)[order]
-            v_norm = (v * v).sum(1)
-            rows = max(1, BLOCK_CELLS // max(1, len(ref)))
-            for a in range(0, len(ids), rows):
-                dist = (q_norm[a : a + rows, None] + v_norm - 2 * (q[a : a + rows] @ v.T)).astype(np.int64)
-                if len(ref) > k:
-                    # the k-th least distance bounds the rows that can count; ties all come along
-                    bound = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
-                    i, j = np.nonzero(dist <= bound)
-                else:
-                    i, j = np.nonzero(np.ones_like(dist, bool))
-                d = dist[i, j]
-                rank = np.lexsort((j, d, i))
-                i, j, d = i[rank], j[rank], d[rank]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                near = place < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a + i[near]]), pa.array(ref[j[near]]), pa.array(fraud[j[near]].astype(np.int32)), pa.array(d[near])],
-                    ["qid", "ref_id", "fraud", "dist"],
-                )
+def _by_width(rows: list) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, vectors) of the vectors of each length."""
+    widths = np.array([len(x) for x in rows], np.int64)
+    return [(int(w), at, np.array([rows[i] for i in at], float)) for w in np.unique(widths) for at in [np.nonzero(widths == w)[0]] if w]
 
-    lean = references.select("ref_id", "fraud", *[f"v{i}" for i in range(14)])
-    return nearest(lean.mapInArrow(reduced, "qid long, ref_id long, fraud int, dist long"), ["dist", "ref_id"], k)
 
+def knn_arrays(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = BROADCAST_ROWS) -> DataFrame:
+    """(qid, vec_id, label, dist, rank) for vectors in an `embedding` array column; those of other lengths, or null, are no neighbours."""
+    vector = F.col("embedding").cast("array<double>")
+    lean = vectors.select("vec_id", "label", vector.alias("v")).where("v is not null")
 
-def knn_float(queries: DataFrame, references: DataFrame, k: int = 5) -> DataFrame:
-    """As `knn` on the unquantized features, in double precision, as a JVM join."""
-    q = queries.select("qid", *[f"g{i}" for i in range(14)])
-    r = references.select("ref_id", "fraud", *[f"f{i}" for i in range(14)])
-    pairs = r.crossJoin(F.broadcast(q) if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else q)
-    return nearest(pairs.select("qid", "ref_id", "fraud", squared_distance_float("g", "f").alias("dist")), ["dist", "ref_id"], k)
+    def unpack(batch):
+        ids, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        return [(w, ids[at], ids[at], label[at], v) for w, at, v in _by_width(batch.column(2).to_pylist())]
 
+    def search(held: pd.DataFrame) -> DataFrame:
+        groups = [(w, at, x, np.zeros(len(at), np.int64), None) for w, at, x in _by_width(list(held["x"]))]
+        return scan(held, lean, unpack, groups, in_order, k, "double")
 
-def knn_arrays(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(qid, vec_id, label, dist, rank) for vectors in an `embedding` array column of any length."""
-    width = F.size("x")
-    steps = F.zip_with("x", "y", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    q = queries.select("qid", F.col("embedding").alias("x"))
-    q = F.broadcast(q) if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else q
-    pairs = vectors.select("vec_id", "label", F.col("embedding").alias("y")).crossJoin(q).where(width == F.size("y"))
-    dist = F.aggregate(steps, F.lit(0.0), lambda total, x: total + x)
-    return nearest(pairs.where("qid <> vec_id").select("qid", "vec_id", "label", dist.alias("dist")), ["dist", "vec_id"], k)
+    found = in_blocks(queries.select("qid", vector.alias("x")).where("x is not null"), most_queries, search)
+    label = F.col("label").cast(dict(vectors.dtypes)["label"])
+    return nearest(found.select("qid", F.col("id").alias("vec_id"), label.alias("label"), "dist"), ["dist", "vec_id"], k)

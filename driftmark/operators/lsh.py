@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions.quantize import squared_distance_float
+from driftmark.operators.blocks import in_groups, in_order
 from driftmark.operators.common import G, nearest, small
 from driftmark.operators.partitioned import positions
+from driftmark.plans.cluster import cut
 
 PLANES, PROBES, CANDIDATES = 16, 8, 4000
 
@@ -40,21 +42,29 @@ def buckets(references: DataFrame) -> DataFrame:
     return positions(references.withColumn("sig", signature()), "sig")
 
 
-def search(queries: DataFrame, stored: DataFrame, k: int = 5, probes: int = PROBES, candidates: int = CANDIDATES) -> DataFrame:
+def asked(queries: DataFrame, probes: int = PROBES) -> DataFrame:
+    """(qid, g, probe, sig): the query's own bucket for probe 0, and for probe j the one whose bit j - 1 is flipped."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(min(probes, PLANES)))).alias("probe")
+    flip = F.when(F.col("probe") == 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, greatest(probe - 1, 0))"))
+    return queries.select("qid", *G, signature("g").alias("own"), steps).withColumn("sig", F.col("own").bitwiseXOR(flip.cast("long"))).drop("own")
+
+
+def search(queries: DataFrame, references: DataFrame, k: int = 5, probes: int = PROBES, candidates: int = CANDIDATES) -> DataFrame:
     """The k nearest features in the query's bucket and, while fewer than k were found, in those one bit away.
 
-    stored: what `buckets` gives. Probe j flips bit j - 1 and takes place if the probes
-    before it found fewer than k; of what they find the first `candidates` are ranked.
+    Probe j takes place if the probes before it found fewer than k; of what they find, in the order of probes and then of places in the
+    bucket, the first `candidates` are ranked. Only buckets that some probe may ask for are numbered.
     """
-    steps = F.explode(F.sequence(F.lit(0), F.lit(min(probes, PLANES)))).alias("probe")
-    # one flip mask for each probe; none for the query's own bucket
-    flip = F.when(F.col("probe") == 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, greatest(probe - 1, 0))"))
-    asked = queries.select("qid", *G, signature("g").alias("own"), steps).withColumn("sig", F.col("own").bitwiseXOR(flip.cast("long")))
-    sizes = stored.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    probed = cut(asked(queries, probes))
+    wanted = small(probed.select("sig").distinct())
+    lean = references.select("ref_id", "fraud", *[f"f{i}" for i in range(14)], signature().alias("sig"))
+    held = lean.join(wanted, "sig", "left_semi")
+    stored = positions(held, "sig")
+    sizes = held.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     before = Window.partitionBy("qid").orderBy("probe").rowsBetween(Window.unboundedPreceding, -1)
-    counted = asked.join(sizes, "sig", "left").withColumn("found", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    counted = probed.join(sizes, "sig", "left").withColumn("found", F.coalesce(F.sum("size").over(before), F.lit(0)))
     taken = counted.where((F.col("found") < k) & F.col("size").isNotNull())
-    pairs = stored.select("sig", "pos", "ref_id", "fraud", *[f"f{i}" for i in range(14)]).join(small(taken.select("qid", "sig", "probe", "found", *G)), "sig")
     # rank among a query's candidates: those of the probes before, then the place in the bucket
-    pairs = pairs.where(F.col("found") + F.col("pos") < candidates)
-    return nearest(pairs.select("qid", "probe", "pos", "ref_id", "fraud", squared_distance_float("g", "f").alias("dist")), ["dist", "probe", "pos"], k)
+    named = taken.select("qid", "sig", F.col("probe").alias("scan_rank"), *G, (candidates - F.col("found")).cast("long").alias("upto")).where("upto > 0")
+    found = in_groups(named, stored, "sig", G, [f"f{i}" for i in range(14)], np.float64, in_order, k, "double")
+    return nearest(found.withColumnRenamed("scan_rank", "probe"), ["dist", "probe", "pos"], k)

@@ -1,16 +1,19 @@
 """Search over the 256 partitions of quantized vectors, with box pruning.
 
-Positions inside a partition follow ref_id. Queries are the small side: references are
-joined by partition key, so only the partitions that queries ask for are compared.
+Positions inside a partition follow ref_id. Queries are the held side: references are read once,
+and each is compared with the queries that ask for its partition.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions.quantize import lower_bound, squared_distance
-from driftmark.operators.common import Q, V, nearest, small
+from driftmark.functions.quantize import lower_bound
+from driftmark.operators.blocks import in_groups, of_integers
+from driftmark.operators.common import Q, V, nearest
+from driftmark.plans.cluster import cut
 from driftmark.sources.readers import write_index
 from driftmark.sources.schema import PARTITIONS
 
@@ -48,11 +51,10 @@ def positions(rows: DataFrame, key: str, order: str = "ref_id", span: int = 1 <<
     return placed.withColumn("pos", (F.col("__dm_start") + F.col("__dm_n") - 1).cast("long")).drop("__dm_range", "__dm_n", "__dm_start")
 
 
-def _scan(probes: DataFrame, references: DataFrame, cap: int) -> DataFrame:
-    """Distances of the references in the partitions that probes (qid, pk, scan_rank, q) name; the first `cap` of each, all for 0."""
+def _scan(probes: DataFrame, references: DataFrame, cap: int, k: int) -> DataFrame:
+    """Candidates for the k nearest in the partitions that probes (qid, pk, scan_rank, q) name; of the first `cap` of each, of all for 0."""
     r = references if not cap else references.where(F.col("pos") < cap)
-    pairs = r.select("pk", "pos", "ref_id", "fraud", *V).join(small(probes.select("qid", "pk", "scan_rank", *Q)), "pk")
-    return pairs.select("qid", "pk", "scan_rank", "pos", "ref_id", "fraud", squared_distance().alias("dist"))
+    return in_groups(probes, r, "pk", Q, V, np.float64, of_integers, k, "long")
 
 
 ORDER = ["dist", "scan_rank", "pos"]
@@ -72,7 +74,7 @@ def _allowed(queries: DataFrame, stats: DataFrame, cap: int, hard: bool) -> Data
 
 def knn_primary(queries: DataFrame, references: DataFrame, stats: DataFrame, k: int = 5, cap: int = 0, hard: bool = False) -> DataFrame:
     """The k nearest in the query's own partition."""
-    return nearest(_scan(_own(_allowed(queries, stats, cap, hard)), references, cap), ORDER, k)
+    return nearest(_scan(_own(_allowed(queries, stats, cap, hard)), references, cap, k), ORDER, k)
 
 
 def candidate_partitions(queries: DataFrame, kth: DataFrame, stats: DataFrame, most: int) -> DataFrame:
@@ -99,16 +101,18 @@ def knn_multi(queries: DataFrame, references: DataFrame, stats: DataFrame, k: in
     is left out only if its box is no nearer than the k-th distance.
     """
     asked = _allowed(queries, stats, cap, hard)
-    first = nearest(_scan(_own(asked), references, cap), ORDER, k).persist()
+    # at most k rows a query, read by the bounds and by the union
+    first = cut(nearest(_scan(_own(asked), references, cap, k), ORDER, k))
     probes = candidate_partitions(asked, kth_distance(asked, first, k), stats, most)
     # the own partition's best k stand for it: no other row of it can be among the final k
-    both = first.drop("rank").unionByName(_scan(probes, references, cap))
+    both = first.drop("rank").unionByName(_scan(probes, references, cap, k))
     return nearest(both, ORDER, k)
 
 
-def nearest_one(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """(qid, ref_id, fraud, dist) of the nearest in the own partition, as one aggregate."""
-    pairs = _scan(_own(queries), references, 0)
+def nearest_one(queries: DataFrame, references: DataFrame, but_itself: bool = False) -> DataFrame:
+    """(qid, ref_id, fraud, dist) of the nearest in the own partition; the query's own row, where wanted, left out."""
+    pairs = _scan(_own(queries), references, 0, 1 + but_itself)
+    pairs = pairs.where("qid <> ref_id") if but_itself else pairs
     best = pairs.groupBy("qid").agg(F.min(F.struct("dist", "pos", "ref_id", "fraud")).alias("best"))
     return best.select("qid", "best.ref_id", "best.fraud", "best.dist")
 

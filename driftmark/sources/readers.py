@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from driftmark.functions import quantize
 from driftmark.sources.schema import DIMS, DOCUMENT, REFERENCE
 
 
@@ -26,6 +27,40 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ref_id", *[F.col("vector")[i].cast("float").alias(f"f{i}") for i in range(DIMS)], is_fraud(F.col("label")).alias("fraud"))
 
 
+#: Entries of one JSON array that is written: a file of them is read by one task.
+FILE_ROWS = 50_000
+
+
+def _write_arrays(rows: DataFrame, key: str, entry: Column, path: str, around: tuple[str, str]) -> None:
+    """JSON files at path, each one array of at most about FILE_ROWS entries."""
+    files = max(1, -(-rows.count() // FILE_ROWS))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(files)).alias("file")).agg(F.collect_list(F.struct(key, entry.alias("entry"))).alias("all"))
+    body = F.array_join(F.transform(F.array_sort("all"), lambda x: x["entry"]), ",")
+    dealt.select(F.concat(F.lit(around[0]), body, F.lit(around[1]))).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def write_references(rows: DataFrame, path: str) -> None:
+    """(ref_id, vector, label) as files that `read_references` reads."""
+    _write_arrays(rows, "ref_id", F.to_json(F.struct("vector", "label")), path, ("[", "]"))
+
+
+def store_references(references: DataFrame, path: str) -> None:
+    """(ref_id, v0..v13, fraud) of references as Parquet: what searches read."""
+    quantized = [quantize.quantize(F.col(f"f{i}")).alias(f"v{i}") for i in range(DIMS)]
+    references.select("ref_id", *quantized, "fraud").write.mode("overwrite").parquet(path)
+
+
+def write_entries(bodies: DataFrame, path: str) -> None:
+    """(qid, body, expected_approved) as load-test files that `read_entries` reads."""
+    entry = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"expected_approved":'), F.col("expected_approved").cast("string"), F.lit("}"))
+    _write_arrays(bodies, "qid", entry, path, ('{"entries":[', "]}"))
+
+
+def read_first_document(spark: SparkSession, path: str) -> DataFrame:
+    """The document of a payload file; of an array the first."""
+    return read_documents(spark, path).limit(1)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Transaction documents of a JSON file (an object, an array, or lines)."""
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(path)

@@ -58,9 +58,37 @@ def to_queries(parsed: DataFrame, key: str = "qid", limits: Limits = Limits(), r
     return whole.withColumnsRenamed({f"{a}{i}": f"{b}{i}" for a, b in (("f", "g"), ("v", "q")) for i in range(14)})
 
 
-def documents_json(tx: DataFrame, key: str = "tx_id") -> DataFrame:
-    """qid and the JSON body of flat transactions, the reverse of `parse`."""
-    when = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def typed(documents: DataFrame, key: str) -> DataFrame:
+    """key and flat columns of typed documents: timestamps, in any offset, are turned to UTC; what is missing is 0, false or unknown."""
+    value = lambda path, other=0: F.coalesce(F.col(path), F.lit(other))
+    return documents.select(
+        key,
+        value("transaction.amount").alias("amount"),
+        value("transaction.installments").alias("installments"),
+        features.parse_ts_dto(F.col("transaction.requested_at")).alias("requested_at"),
+        value("customer.avg_amount").alias("customer_avg"),
+        value("customer.tx_count_24h").alias("tx_count_24h"),
+        F.col("customer.known_merchants").alias("known_merchants"),
+        F.col("merchant.id").alias("merchant_id"),
+        F.col("merchant.mcc").alias("mcc"),
+        value("merchant.avg_amount").alias("merchant_avg"),
+        value("terminal.is_online", False).alias("is_online"),
+        value("terminal.card_present", False).alias("card_present"),
+        value("terminal.km_from_home").alias("km_from_home"),
+        features.parse_ts_dto(F.col("last_transaction.timestamp")).alias("last_ts"),
+        F.col("last_transaction.km_from_current").alias("last_km"),
+    )
+
+
+def parse_typed(bodies: DataFrame, key: str = "qid", body: str = "body") -> DataFrame:
+    """key and flat columns of JSON bodies read as typed documents."""
+    return typed(bodies.select(key, F.from_json(F.col(body), DOCUMENT).alias("d")).select(key, "d.*"), key)
+
+
+def documents_json(tx: DataFrame, key: str = "tx_id", offset_hours: int = 0) -> DataFrame:
+    """qid and the JSON body of flat transactions, the reverse of `parse`; times are told in UTC or at an offset from it."""
+    zone = f"{offset_hours:+03d}:00" if offset_hours else "Z"
+    when = lambda c: F.concat(F.date_format(F.col(c) + F.make_dt_interval(hours=F.lit(offset_hours)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
     last = F.when(F.col("last_ts").isNotNull(), F.struct(when("last_ts").alias("timestamp"), F.col("last_km").alias("km_from_current")))
     body = F.struct(
         F.concat(F.lit("tx-"), F.col(key)).alias("id"),

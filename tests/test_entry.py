@@ -17,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries) and len(oracles) >= 40
+    assert set(oracles) <= set(queries) and len(oracles) >= 60
 
 
 def _plain(rows, names):
@@ -26,7 +26,7 @@ def _plain(rows, names):
     return sorted([one(r[i]) for i in order] for r in rows)
 
 
-@pytest.mark.parametrize("name", ["vectorize_fast", "knn_partition_m2", "ivf_search_np1_cap64", "score_json", "detection_score", "score_exact"])
+@pytest.mark.parametrize("name", ["vectorize_fast", "knn_partition_m2", "knn_partition_cap64", "ivf_search_np1_cap64", "lsh_search", "score_json", "score_json_bad", "evaluation_report", "stream_score", "score_exact", "probe_index"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
@@ -38,11 +38,16 @@ def test_queries_equal_their_sql(spark, name):
     assert _plain([tuple(r) for r in got.collect()], got.columns) == _plain(wanted.fetchall(), names)
 
 
-def test_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+@pytest.mark.parametrize("folder", [False, True])
+def test_without_the_corpus_operators(tmp_path, pipeline, folder):
+    """Gone with or without corpus_pipeline.py, and where an empty folder stays behind."""
     where = tmp_path / "repo"
     shutil.copytree(ROOT, where, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
     shutil.rmtree(where / "driftmark" / "llm", ignore_errors=True)
-    if (where / "corpus_pipeline.py").exists():
+    if folder:
+        os.mkdir(where / "driftmark" / "llm")
+    if not pipeline and (where / "corpus_pipeline.py").exists():
         os.remove(where / "corpus_pipeline.py")
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=where, check=True, env={**os.environ, "PYTHONPATH": str(where)})
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 55 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "error", "-c", code], cwd=where, check=True, env={**os.environ, "PYTHONPATH": str(where)})

@@ -100,7 +100,7 @@ def test_lsh_probes(split):
         x = q[q["qid"] == n][[f"g{i}" for i in range(14)]].to_numpy(float)[0]
         d = [((r[r["ref_id"] == i][[f"f{j}" for j in range(14)]].to_numpy(float)[0] - x) ** 2).sum() for i in ids]
         wanted |= {(n, ids[i]) for i in np.argsort(d, kind="stable")[:5]}
-    got = {(x["qid"], x["ref_id"]) for x in lsh.search(queries, lsh.buckets(references.drop("pos"))).collect()}
+    got = {(x["qid"], x["ref_id"]) for x in lsh.search(queries, references.drop("pos")).collect()}
     assert got == wanted
 
 
@@ -134,3 +134,52 @@ def test_all_transactions_are_scored_among_all_others(spark):
         counts[("t" if wanted[tx][2] == (fraud[i] == 0) else "f") + ("n" if wanted[tx][2] else "p")] += 1
     assert {r["qid"]: (r["frauds"], r["total"], r["approved"]) for r in QUERIES["score_all"](spark, SF).collect()} == wanted
     assert QUERIES["confusion_all"](spark, SF).first().asDict() == counts
+
+
+def test_blocks_of_probes_change_nothing(split):
+    """Probes held a few at a time, and places that end a group's part early."""
+    from driftmark.operators.blocks import in_groups, of_integers
+    from driftmark.operators.common import Q, V, nearest
+
+    queries, references, stats = split
+    probes = partitioned.candidate_partitions(queries, partitioned.kth_distance(queries, queries.select("qid", F.lit(0).alias("rank"), F.lit(0).alias("dist")), 5), stats, 3)
+    probes = probes.withColumn("upto", F.col("scan_rank").cast("long") * 4)
+    order = ["dist", "scan_rank", "pos"]
+    found = lambda most: _tuples(nearest(in_groups(probes, references, "pk", Q, V, np.float64, of_integers, 4, "long", most), order, 4), "qid", "rank", "ref_id", "dist")
+    assert found(10_000) == found(7)
+    p, r, wanted = probes.toPandas(), references.toPandas(), {}
+    for x in p.itertuples():
+        own = r[(r["pk"] == x.pk) & (r["pos"] < x.upto)]
+        for y in own.itertuples():
+            d = sum((getattr(x, f"q{i}") - getattr(y, f"v{i}")) ** 2 for i in range(14))
+            wanted.setdefault(x.qid, []).append((d, x.scan_rank, y.pos, y.ref_id))
+    assert found(7) == sorted((q, n + 1, ref, d) for q, rows in wanted.items() for n, (d, _, _, ref) in enumerate(sorted(rows)[:4]))
+
+
+def test_arrays_of_several_lengths(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, [float(x) for x in rng.integers(-3, 4, 2 + i % 2)] if i % 11 else None) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    queries = vectors.where("vec_id % 5 = 0").selectExpr("vec_id qid", "embedding")
+    wanted = []
+    for q, _, x in rows[::5]:
+        near = sorted((float(sum((a - b) ** 2 for a, b in zip(x, y, strict=True))), i) for i, _, y in rows if x and y and len(x) == len(y))
+        wanted += [(q, n + 1, i, d) for n, (d, i) in enumerate(near[:4])]
+    for most in (1000, 6):
+        assert _tuples(exact.knn_arrays(queries, vectors, 4, most), "qid", "rank", "vec_id", "dist") == sorted(wanted)
+
+
+def test_a_probe_of_nothing_has_no_rate(spark, split):
+    from driftmark.operators import probe
+    from driftmark.plans.fixtures import ASKED, transactions
+    from driftmark.streaming.scorer import documents_json
+    from driftmark.sources.schema import DOCUMENT
+
+    _, references, stats = split
+    body = documents_json(transactions(spark.read.parquet(f"{SF}/events.parquet")).where(ASKED)).orderBy("qid").limit(1)
+    document = body.select(F.from_json("body", DOCUMENT).alias("d")).select("d.*")
+    empty = references.limit(0)
+    (row,) = probe.against_index(document, empty, partitioned.partition_stats(empty)).collect()
+    assert np.isnan(row["fraud_score"]) and row["rank"] is None
+    rows = probe.against_index(document, references, stats).collect()
+    assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5] and rows[0]["fraud_score"] == np.float32(sum(r["fraud"] for r in rows) / 5)

@@ -41,11 +41,12 @@ def test_index_round_trip(spark, tmp_path):
 
 def test_bodies(spark):
     got = {r["name"]: r for r in QUERIES["score_json_bad"](spark, SF).collect()}
-    assert {n: r["status"] for n, r in got.items()} == {"valid": "ok", "no_time": "open", "broken": "open", "empty": "open", "wrong_type": "error", "unknown_keys": "ok", "last_without_time": "ok"}
+    assert {n: r["status"] for n, r in got.items()} == {"valid": "ok", "no_time": "open", "broken": "open", "empty": "open", "wrong_type": "error", "unknown_keys": "ok", "last_without_time": "ok", "sections_twice": "ok"}
     assert got["empty"]["body"] == '{"approved":true,"fraud_score":0.0}' and got["valid"]["body"] is None
     spec = [0.0041, 0.1667, 0.05, 0.7826, 0.3333, -1, -1, 0.0292, 0.15, 0, 1, 0, 0.15, 0.006]
     assert all(abs(got["valid"][f"g{i}"] - x) < 5e-4 for i, x in enumerate(spec))
     assert (got["unknown_keys"]["g2"], got["unknown_keys"]["g11"]) == (0.0, 1.0)
+    assert (round(got["sections_twice"]["g0"], 4), round(got["sections_twice"]["g12"], 4)) == (0.002, 0.15)  # the last section counts
     assert (got["last_without_time"]["g5"], round(got["last_without_time"]["g6"], 4)) == (1.0, 0.005)
 
 
