@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import embeddings, html, language, media, mixing, neardup, packing, quality, sharding, tokens
+from driftmark.llm.oracles import ORACLES as ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html,
     )
 }
-
-ORACLES: dict[str, str] = {}
