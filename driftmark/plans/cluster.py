@@ -52,6 +52,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that this many rows share, of which there are few, are joined without dealing rows by key.
+HOT_ROWS = 50_000
+
+
+def attach(rows: DataFrame, told: DataFrame, key: str, many: str) -> DataFrame:
+    """rows with the columns of told, which has one row for each value of key; nulls where it has none.
+
+    many: the column of told that says how many rows share the key. Rows of hot keys meet told's few rows about them in every task, rows
+    without a key meet none, so that only the rest is dealt by key.
+    """
+    hot = told.where(F.col(many) >= HOT_ROWS)
+    known, added = rows.where(F.col(key).isNotNull()), [c for c in told.columns if c != key]
+    some = known.join(F.broadcast(hot), key)
+    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(told.where(F.col(many) < HOT_ROWS), key, "left")
+    kinds = dict(told.dtypes)
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in added])
+    order = [*rows.columns, *added]
+    return some.select(*order).unionByName(rest.select(*order)).unionByName(none.select(*order))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Rows of a bucket that are put in order by one task, on average.
 BUCKET_ROWS = 100_000
 LEAST_BUCKETS = 256
