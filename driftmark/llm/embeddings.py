@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.plans.cluster import cut, ship
+from driftmark.plans.cluster import attach, cut, ship
 from driftmark.plans.components import components
 
 SAMPLE = 4096
@@ -147,9 +147,9 @@ def link(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: st
     told = cut(
         classes.join(links.withColumnRenamed("id", "rep"), "rep", "left")
         .join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    return rows.join(told, "v", "left").select(
+    return attach(rows, told, "v", "n").select(
         F.col("id").alias(key),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").cast("long").alias("component_id"),

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.plans.cluster import cut, ship
+from driftmark.plans.cluster import attach, cut, ship
 from driftmark.plans.components import components
 
 BANDS, ROWS = 25, 5
@@ -207,12 +207,14 @@ def _best(members: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs.
+    """doc_id, n_shingles, component_id and kept for each row of docs; ids are whole numbers.
 
     Rows with the same id count as one document if their texts are equal; ids are otherwise
-    expected to be distinct.
+    expected to be distinct (`deduplicated` makes them so).
     """
     ship(docs.sparkSession)
+    if (kind := dict(docs.dtypes)["doc_id"]) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be a whole number, not {kind}")
     limit = most_differing(percent / 100 - MARGIN)
     described = cut(_described(docs, words))
     named = described.where(F.col("key").isNotNull() & F.col("id").isNotNull())
@@ -222,9 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = _across(members, cut(groups), docs, words, percent)
     if more is not None:
         groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    told = cut(classes.select("key", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")))
+    told = cut(classes.select("key", "rep", "copies").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), "copies"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return described.select("id", "n_shingles", "key").join(told, "key", "left").select(
+    return attach(described.select("id", "n_shingles", "key"), told, "key", "copies").select(
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
     )
 
@@ -295,11 +297,15 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, unchanged, of one document of each group; rows of a null id all stay.
+    """The rows of docs, unchanged, of one document of each group: that of the least id; rows of a null id all stay.
 
-    Of rows with the same id one stays.
+    Documents are told apart by id and text, so that one id may have several texts, and ids may be of any type. Of rows
+    equal in both one stays.
     """
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("__dm_id")).distinct()
-    key = F.col("doc_id").cast("long")
-    stays = docs.where("doc_id is not null").join(kept, key == F.col("__dm_id")).dropDuplicates(["__dm_id"]).drop("__dm_id")
+    uid = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    named = docs.where("doc_id is not null").withColumn("__dm_uid", uid)
+    found = near_duplicates(named.select(F.col("__dm_uid").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("__dm_uid"), "component_id").distinct()
+    ids = named.select("doc_id", "__dm_uid").distinct().join(found, "__dm_uid")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__dm_uid")).alias("least")).select("least.__dm_uid")
+    stays = named.join(kept, "__dm_uid", "left_semi").dropDuplicates(["__dm_uid"]).drop("__dm_uid")
     return stays.unionByName(docs.where("doc_id is null"))

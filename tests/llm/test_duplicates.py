@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftmark.llm import embeddings, neardup
+from driftmark.plans import cluster
 
 
 def brute_groups(sets, percent=80):
@@ -80,6 +82,25 @@ def test_deduplicated_rows(spark, make_docs):
     assert neardup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_one_id_of_several_texts(spark, make_docs):
+    """A shared id costs no text: rows count by id and text."""
+    texts = ["one two three four five six", "other words that nothing else has at all", "one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six"]
+    docs = make_docs(texts, ids=[5, 5, 9, 5, 5])
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect())
+    assert kept == sorted((5, t) for t in {texts[0], texts[1], texts[3]})
+    named = docs.withColumn("doc_id", F.concat(F.lit("d-"), "doc_id"))
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.deduplicated(named).collect()) == [(f"d-{i}", t) for i, t in kept]
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(named)
+
+
+def test_hot_keys_and_rows_without_one(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(cluster, "HOT_ROWS", 20)
+    texts = ["same words in all of these rows"] * 50 + [None] * 40 + ["a few others of them"] * 5 + ["alone it stands here"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(make_docs(texts), words=2).collect()}
+    assert len(got) == 96 and {got[i][1] for i in range(50)} == {0} and all(got[i] == (0, i, True) for i in range(50, 90)) and {got[i][1] for i in range(90, 95)} == {90} and got[95] == (3, 95, True)
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(1)
     for similarity in (0.7, 0.8, 0.9, 0.97):
