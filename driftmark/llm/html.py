@@ -20,7 +20,8 @@ outside the template say nothing.
 Occurrence vectors are kept as fingerprints (sums of two 32-bit mixes of page and count,
 number of pages, total, largest count), which add up before any shuffle; classes are matched by
 their fingerprints, so a host of any number of pages is never gathered in one place: its
-template has one row for each of its paths and template texts. Pages that leave elements
+template has one row for each of its template texts and of the paths that several pages have. Of paths that
+are on one page alone, by an id of its own perhaps, that page itself is the whole vector. Pages that leave elements
 open are not learnt from, unless a host has no other.
 
 Defined results: null or empty html, or no main text -> text "" and n_chars 0; a null url
@@ -251,10 +252,11 @@ def _closable(stack: list[Node], closes: set[str]) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[Node, list[str], str, int]]:
-    """(element, raw runs, text, code points of it in links) of each block that has text."""
+def blocks(page: str) -> tuple[list[tuple[Node, list[str], str, int]], dict[int, int], bool]:
+    """(element, raw runs, text, code points of it in links) of each block that has text, how often each element opens, and whether the page is whole."""
     found: list[tuple[Node, list[str], list[str]]] = []
-    begun = False
+    opened: dict[int, int] = defaultdict(int)
+    begun, whole = False, True
     for kind, node, run in walk(page):
         if kind in ("text", "link"):
             if not begun:
@@ -262,13 +264,16 @@ def blocks(page: str) -> list[tuple[Node, list[str], str, int]]:
             begun = True
             found[-1][1].append(run)
             found[-1][2].append(kind)
-        elif kind != "torn":
+        elif kind == "torn":
+            whole = False
+        else:
             begun = False
+            opened[node.id] += kind == "open"
     out = []
     for node, runs, kinds in found:
         if text := told("".join(runs)):
             out.append((node, runs, text, sum(len(told(r)) for r, k in zip(runs, kinds, strict=True) if k == "link")))
-    return out
+    return out, opened, whole
 
 
 #: Columns of the tokens of a host: whether from whole pages; "element" or "run"; id, and the element it is in.
@@ -335,8 +340,9 @@ def _summaries(pages: DataFrame) -> DataFrame:
     ddl = "host string, whole boolean, kind string, id long, above long, " + ", ".join(f"{c} long" for c in [*SUMS, "most", "first", "last"])
     made = pages.select("url", "html").mapInArrow(counted, ddl)
     sums = made.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in SUMS), F.max("most").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
-    # most runs are on one page, which makes no template
-    sums = cut(sums.where((F.col("kind") != "run") | (F.col("pages") >= SUPPORT) & (F.col("first") != F.col("last"))))
+    # most runs, and the elements that an id names apart, are on one page: such runs make no template, and of such elements the page itself knows all
+    held = F.when(F.col("kind") == "run", (F.col("pages") >= SUPPORT) & (F.col("first") != F.col("last"))).otherwise((F.col("pages") > 1) | (F.col("id") == 0))
+    sums = cut(sums.where(held))
     shared = ["host", "whole", "lo", "hi", "pages", "total"]
     classes = sums.where((F.col("kind") == "element") & (F.col("most") == 1)).select(*shared).distinct()
     runs = sums.where("kind = 'run'").join(classes, shared, "left_semi")
@@ -348,9 +354,9 @@ PATH = np.dtype([("id", "<i8"), ("part", "u1"), ("size", "<f8"), ("text", "<f8")
 
 
 def _templates(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row for a host: its paths and its template texts, packed."""
-    name = rows["host"].iloc[0]
-    if rows["whole"].any():
+    """One row for a host: its paths and its template texts, packed, and whether they come from whole pages."""
+    name, whole = rows["host"].iloc[0], bool(rows["whole"].any())
+    if whole:
         rows = rows[rows["whole"]]
     runs, paths = rows[rows["kind"] == "run"], rows[rows["kind"] != "run"]
     fixed = runs.assign(chars=runs["text"]).groupby("above")["chars"].sum()
@@ -360,42 +366,34 @@ def _templates(rows: pd.DataFrame) -> pd.DataFrame:
     free = np.maximum(paths["text"] - paths["links"] - paths["id"].map(fixed).fillna(0), 0)
     out["size"], out["text"] = free / paths["pages"], paths["text"] / paths["pages"]
     out["links"] = (paths["text"] > 0) & (2 * paths["links"] >= paths["text"])
-    return pd.DataFrame({"host": [name], "paths": [np.sort(out, order="id").tobytes()], "fixed": [np.sort(runs["id"].to_numpy("<i8")).tobytes()]})
+    return pd.DataFrame({"host": [name], "paths": [np.sort(out, order="id").tobytes()], "fixed": [np.sort(runs["id"].to_numpy("<i8")).tobytes()], "whole": [whole]})
 
 
 class Template:
-    """What a host's pages say of its paths; without them nothing is known of any."""
+    """What a host's pages say of its paths. own: a page that the host's template is learnt from speaks for paths that are on no other."""
 
-    def __init__(self, paths: bytes = b"", fixed: bytes = b""):
+    def __init__(self, paths: bytes = b"", fixed: bytes = b"", whole: bool = True, own: bool = True):
         rows = [(r[0] & 0xFFFFFFFFFFFFFFFF, *r[1:]) for r in np.frombuffer(paths, PATH).tolist()]
         self.parts = {r[0] for r in rows if r[1]}
         self.sizes = {r[0]: (r[2], r[3], bool(r[4])) for r in rows}
         self.fixed = set(np.frombuffer(fixed, "<u8").tolist())
+        self.whole, self.own = whole, own
 
     def is_fixed(self, node: Node, runs: list[str]) -> bool:
         """Whether a block is made of template texts alone."""
         return bool(self.fixed) and all(hashed("run", node.id, t) in self.fixed for r in runs if (t := told(r)))
 
-    def standings(self, nodes: dict[int, Node]) -> dict[int, str]:
-        """The standing of the text of each element, outer ones first; names of elements that the host's classes don't have say nothing."""
-        found = {0: Standing()}
-        for i, node in nodes.items():
-            if i:
-                above = found[node.above.id]
-                found[i] = above.within(node) if i in self.sizes else above
-        return {i: x.kind for i, x in found.items()}
-
 
-def content(nodes: dict[int, Node], kinds: dict[int, str], sizes: dict[int, float], template: Template) -> int:
+def content(nodes: dict[int, Node], kinds: dict[int, str], sizes: dict[int, float], parts: set[int]) -> int:
     """The id of the innermost template element that holds the main text.
 
-    nodes: the elements around text, outer ones first; sizes: the text that is theirs.
+    nodes: the elements around text, outer ones first; sizes: the text that is theirs; parts: those of the template.
     """
     around: dict[int, int] = {0: 0}
     held: dict[int, float] = {0: 0.0}
     for i, node in nodes.items():
         if i:
-            around[i] = i if i in template.parts else around[node.above.id]
+            around[i] = i if i in parts else around[node.above.id]
             held.setdefault(around[i], 0.0)
     for i, size in sizes.items():
         held[around[i]] += size
@@ -414,7 +412,7 @@ def content(nodes: dict[int, Node], kinds: dict[int, str], sizes: dict[int, floa
 
 def main_text(page: str | None, template: Template) -> str:
     """The main text of a page: the blocks of the template element that holds it, in page order."""
-    found = blocks(page or "")
+    found, opened, whole = blocks(page or "")
     nodes: dict[int, Node] = {0: ROOT}
     for node, *_ in found:
         chain = []
@@ -422,25 +420,34 @@ def main_text(page: str | None, template: Template) -> str:
             chain.append(node)
             node = node.above
         nodes |= {n.id: n for n in reversed(chain)}
-    kinds = template.standings(nodes)
     chars: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-    total: dict[str, int] = defaultdict(int)
     for node, _, text, links in found:
         chars[node.id][0] += len(text)
         chars[node.id][1] += links
-        total[kinds[node.id]] += len(text)
-    # paths that the host's whole pages don't have go by this page alone
+    # what the host's classes say of each element, or the page itself if it is one of those that are learnt from
+    own = template.own and (whole or not template.whole)
+    standings, parts = {0: Standing()}, {0}
+    for i, node in nodes.items():
+        if i:
+            above = standings[node.above.id]
+            standings[i] = above.within(node) if own or i in template.sizes else above
+            if i in template.parts or own and i not in template.sizes and opened[i] == 1 and node.tag not in TEXT_ALONE:
+                parts.add(i)
+    kinds = {i: x.kind for i, x in standings.items()}
+    total: dict[str, int] = defaultdict(int)
+    for i, (n, _) in chars.items():
+        total[kinds[i]] += n
     links = {i: template.sizes[i][2] if i in template.sizes else 2 * x >= n for i, (n, x) in chars.items()}
     first = {NAMED, PLAIN} if total[NAMED] or total[PLAIN] and total[PLAIN] >= total[RESCUED] else {RESCUED}
     for wanted in (first, {PLAIN, RESCUED} - first, {ASIDE}):
         mine = [b for b in found if kinds[b[0].id] in wanted and (kinds[b[0].id] == NAMED or not links[b[0].id])]
         if not mine:
             continue
-        free = {b[0].id: template.sizes.get(b[0].id, (chars[b[0].id][0],) * 2) for b in mine}
+        free = {b[0].id: template.sizes.get(b[0].id, (chars[b[0].id][0] - chars[b[0].id][1], chars[b[0].id][0])) for b in mine}
         sizes = {i: s[0] for i, s in free.items()}
         if not any(sizes.values()):  # all is template text
             sizes = {i: s[1] for i, s in free.items()}
-        at = content(nodes, kinds, sizes, template)
+        at = content(nodes, kinds, sizes, parts)
         inside: dict[int, bool] = {}
         for i, node in nodes.items():
             inside[i] = i == at or i != 0 and inside[node.above.id]
@@ -449,16 +456,16 @@ def main_text(page: str | None, template: Template) -> str:
         named = sum(sizes[i] for i in of if kinds[i] == NAMED)
         if named and named >= (1 - MOST) * sum(sizes[i] for i in of):
             kept = [b for b in kept if kinds[b[0].id] == NAMED]
-        own = [b[2] for b in kept if kinds[b[0].id] == NAMED or not template.is_fixed(b[0], b[1])]
-        if own or kept:
-            return "\n".join(own or [b[2] for b in kept])
+        text = [b[2] for b in kept if kinds[b[0].id] == NAMED or not template.is_fixed(b[0], b[1])]
+        if text or kept:
+            return "\n".join(text or [b[2] for b in kept])
     return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     ship(pages.sparkSession)
-    templates = cut(_summaries(pages).groupBy("host").applyInPandas(_templates, "host string, paths binary, fixed binary"))
+    templates = cut(_summaries(pages).groupBy("host").applyInPandas(_templates, "host string, paths binary, fixed binary, whole boolean"))
 
     def with_host(batches):
         for batch in batches:
@@ -470,10 +477,10 @@ def extract(pages: DataFrame) -> DataFrame:
     def read(batches):
         unpacked = lru_cache(1000)(Template)
         for batch in batches:
-            texts = [main_text(h, unpacked(p, f)) for h, p, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [main_text(h, unpacked(*t)) for h, *t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # pages are sent by host only where the templates are too large for every task
     size = templates.agg(F.sum(F.octet_length("host") + F.octet_length("paths") + F.octet_length("fixed")).alias("n")).first()["n"] or 0
-    joined = hosted.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host").select("page_id", "url", "html", "paths", "fixed")
+    joined = hosted.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host").select("page_id", "url", "html", "paths", "fixed", "whole")
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
