@@ -66,19 +66,25 @@ def pack_bits(data: bytes) -> bytes:
 
 def unpack_lzw(data: bytes) -> bytes:
     """TIFF's LZW: codes of 9 to 12 bits, most significant bit first, widened one code early."""
+    first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table: list[bytes] = []
-    out, held, bits, width, last = [], 0, 0, 9, b""
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFFFF
-        bits += 8
+    out, held, bits, width, last, at, wider = [], 0, 0, 9, b"", 0, 511
+    while True:
         if bits < width:
-            continue
+            part = data[at : at + 6]
+            if not part:
+                break
+            at += len(part)
+            held = (held & (1 << bits) - 1) << 8 * len(part) | int.from_bytes(part, "big")
+            bits += 8 * len(part)
+            if bits < width:
+                break
         bits -= width
-        code = held >> bits & ((1 << width) - 1)
+        code = held >> bits & (1 << width) - 1
         if code == 257:
             break
         if code == 256:
-            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
+            table, width, last, wider = first.copy(), 9, b"", 511
             continue
         if not table:
             raise TiffError("LZW data starts without a clear code")
@@ -91,49 +97,48 @@ def unpack_lzw(data: bytes) -> bytes:
         out.append(entry)
         if last:
             table.append(last + entry[:1])
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+            if len(table) >= wider and width < 12:
+                width += 1
+                wider = (wider + 1) * 2 - 1
         last = entry
     return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
     """LZW of data, as `unpack_lzw` reads it."""
-    held, bits, out = 0, 0, bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    def fresh() -> dict[bytes, int]:
-        return {bytes((i,)): i for i in range(256)}
+    table: dict[int, int] = {}  # code of a prefix << 8 | next byte -> code of both
+    following, prefix = 258, -1
+    out, held, bits, width = bytearray(), 256, 9, 9
 
-    table, width, prefix, following = fresh(), 9, b"", 258
-    put(256, width)
     for byte in data:
-        longer = prefix + bytes((byte,))
-        if longer in table:
-            prefix = longer
+        if prefix < 0:
+            prefix = byte
             continue
-        put(table[prefix], width)
-        table[longer] = following
+        key = prefix << 8 | byte
+        code = table.get(key)
+        if code is not None:
+            prefix = code
+            continue
+        held, bits = held << width | prefix, bits + width
+        table[key] = following
         following += 1
-        prefix = longer[-1:]
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+        prefix = byte
+        if following & following - 1 == 0 and following >= 512:
+            width = following.bit_length()
         if following == 4094:
-            put(256, width)
-            table, width, following = fresh(), 9, 258
-    if prefix:
-        put(table[prefix], width)
+            held, bits = held << width | 256, bits + width
+            table, width, following = {}, 9, 258
+        if bits > 4096:  # whole bytes leave, the rest stays
+            rest = bits & 7
+            out += (held >> rest).to_bytes(bits - rest >> 3, "big")
+            held, bits = held & (1 << rest) - 1, rest
+    if prefix >= 0:
+        held, bits = held << width | prefix, bits + width
         following += 1
         width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-    put(257, width)
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+    held, bits = held << width | 257, bits + width
+    rest = -bits & 7
+    return bytes(out + (held << rest).to_bytes(bits + rest >> 3, "big"))
 
 
 #: Bytes that a stored byte can give at most, by the formats: a run of 128 from 2; a match of 258 from 2 bits; an entry of some 3,800 from 9 bits.
