@@ -285,6 +285,13 @@ def _stamped(parsed: list[str | None]) -> str:
     return f"SELECT * FROM {_values(rows, 'id, parsed')}"
 
 
+#: What the configuration files of the queries say, by hand: limits in the order of this list, and risks; None: the defaults.
+LIMIT_NAMES = ["max_amount", "max_installments", "amount_vs_avg_ratio", "max_minutes", "max_km", "max_tx_count_24h", "max_merchant_avg_amount"]
+USUAL = [10000, 12, 10, 1440, 1000, 20, 10000]
+SAID_LIMITS = {"whole": [500, 6, 4, 60, 20.5, 3, 70], "part": [500, 0, 0, 0, 0, 0, 0], "broken": USUAL, "wrong": USUAL, "missing": USUAL}
+SAID_RISKS = {"given": {"5411": 0.25, "0000": 1.0}, "empty": MCC_RISK, "broken": MCC_RISK, "missing": MCC_RISK}
+
+
 def sql() -> dict[str, str]:
     """The statement for each query that SQL can express."""
     f, v = ", ".join(f"f{i}" for i in D), ", ".join(f"v{i}" for i in D)
@@ -357,6 +364,8 @@ def sql() -> dict[str, str]:
             "q", "exact", own=PREDICTED | {"counts": COUNTS, "scored": detection},
         ),
         "vectorize_limits": _with(f"SELECT tx_id, {', '.join(_canonical(OTHER_LIMITS, OTHER_RISKS))} FROM tx", "tx"),
+        "config_limits": f"SELECT * FROM {_values([f'({x!r}, {n!r}, {_number(v)})' for x, all_ in SAID_LIMITS.items() for n, v in zip(LIMIT_NAMES, all_, strict=True)], 'file, name, value')}",
+        "config_risks": f"SELECT * FROM {_values([f'({x!r}, {m!r}, {_number(v)})' for x, all_ in SAID_RISKS.items() for m, v in all_.items()], 'file, mcc, risk')}",
         "vectorize_dto": _with(f"SELECT tx_id, {f} FROM feat", "feat"),
         "references_json": _with(f"SELECT {f}, fraud FROM feat WHERE tx_id % 7 <> 0", "feat"),
         "references_stored": _with(f"SELECT {v}, fraud FROM quant WHERE tx_id % 7 <> 0", "quant"),

@@ -14,7 +14,7 @@ from driftmark.operators.common import others, outcome
 from driftmark.plans import fixtures
 from driftmark.plans.cluster import shared_folder
 from driftmark.sources import readers
-from driftmark.sources.schema import Limits
+from driftmark.sources.schema import Limits, limits_of, mcc_risk_of
 from driftmark.streaming import scorer
 
 K = 5
@@ -460,6 +460,34 @@ def vectorize_limits(spark, sf_dir):
     return _tx(spark, sf_dir).select("tx_id", *features.canonical(OTHER_LIMITS, OTHER_RISKS))
 
 
+#: Configuration files in the forms that loaders tell apart; None: there is no such file.
+LIMIT_FILES = {"whole": '{"max_amount": 500, "MAX_KM": 20.5, "max_installments": 6, "amount_vs_avg_ratio": 4, "max_minutes": 60, "max_tx_count_24h": 3, "max_merchant_avg_amount": 70}', "part": '{"max_amount": 500}', "broken": '{"max_amount": ', "wrong": '{"max_amount": "much"}', "missing": None}
+RISK_FILES = {"given": '{"5411": 0.25, "0000": 1}', "empty": "{}", "broken": "[1, 2", "missing": None}
+
+
+def _configs(spark, files: dict[str, str | None]) -> dict[str, str | None]:
+    """Text of each file, written to the shared folder and read back."""
+    folder = _folder(spark, "config")
+    for name, text in files.items():
+        if text is not None:
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    return {name: readers.read_text(spark, f"{folder}/{name}") for name in files}
+
+
+@query
+def config_limits(spark, sf_dir):
+    """Each limit as it is read from each file."""
+    rows = [(name, k, v) for name, text in _configs(spark, LIMIT_FILES).items() for k, v in vars(limits_of(text)).items()]
+    return spark.createDataFrame(rows, "file string, name string, value double")
+
+
+@query
+def config_risks(spark, sf_dir):
+    """Each category's risk as it is read from each file."""
+    rows = [(name, k, v) for name, text in _configs(spark, RISK_FILES).items() for k, v in mcc_risk_of(text).items()]
+    return spark.createDataFrame(rows, "file string, mcc string, risk double")
+
+
 @query
 def vectorize_dto(spark, sf_dir):
     """Features of typed documents, whose timestamps carry offsets."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,6 +62,15 @@ def read_first_document(spark: SparkSession, path: str) -> DataFrame:
     return read_documents(spark, path).limit(1)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The whole of a small file, of a configuration for instance; None if there is none."""
+    try:
+        row = spark.read.option("wholetext", True).text(path).first()
+    except AnalysisException:
+        return None
+    return row["value"] if row else None
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Transaction documents of a JSON file (an object, an array, or lines)."""
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(path)

@@ -49,19 +49,36 @@ class Limits:
         return float(np.float32(1.0 / value)) if value > 0 else 0.0
 
 
-def load_limits(path: str | None) -> Limits:
-    """Limits of a JSON file; the defaults if it can't be read, 0 for a key that it lacks."""
+def limits_of(text: str | None) -> Limits:
+    """Limits of a JSON object; the defaults if it can't be read, 0 for a key that it lacks."""
     try:
-        given = {k.lower(): v for k, v in json.loads(Path(path or "").read_text()).items()}
+        given = {k.lower(): v for k, v in json.loads(text or "").items()}
         return Limits(**{f.name: float(given.get(f.name, 0.0)) for f in fields(Limits)})
-    except (OSError, ValueError, AttributeError, TypeError):
+    except (ValueError, AttributeError, TypeError):
         return Limits()
 
 
-def load_mcc_risk(path: str | None) -> dict[str, float]:
-    """Risks of a JSON file; the defaults if it is missing, broken or empty."""
+def mcc_risk_of(text: str | None) -> dict[str, float]:
+    """Risks of a JSON object; the defaults if it is missing, broken or empty."""
     try:
-        given = {str(k): float(v) for k, v in json.loads(Path(path or "").read_text()).items()}
-    except (OSError, ValueError, AttributeError, TypeError):
+        given = {str(k): float(v) for k, v in json.loads(text or "").items()}
+    except (ValueError, AttributeError, TypeError):
         given = {}
     return given or dict(MCC_RISK)
+
+
+def _local(path: str | None) -> str | None:
+    try:
+        return Path(path or "").read_text()
+    except OSError:
+        return None
+
+
+def load_limits(path: str | None) -> Limits:
+    """Limits of a file on this machine, as `limits_of` reads them."""
+    return limits_of(_local(path))
+
+
+def load_mcc_risk(path: str | None) -> dict[str, float]:
+    """Risks of a file on this machine, as `mcc_risk_of` reads them."""
+    return mcc_risk_of(_local(path))
