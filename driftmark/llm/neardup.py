@@ -252,13 +252,17 @@ def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, words: int,
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
     rows = sized.select("main", "rep", "own", place("m", "ms").alias("m"), every("os").alias("o"), F.lit(False).alias("asks"))
     rows = rows.unionByName(sized.where("own != main").select("main", "rep", "own", place("o", "os").alias("o"), every("ms").alias("m"), F.lit(True).alias("asks")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__dm_id"), "text").where("__dm_id is not null")
-    met = texts.join(rows.withColumnRenamed("rep", "__dm_id"), "__dm_id").select("main", "o", "m", "__dm_id", "own", "asks", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
 
     def sets(batches):
         for batch in batches:
-            found = [shingles(t, words).tobytes() for t in batch.column(6).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found, pa.binary())], ["main", "o", "m", "id", "own", "asks", "found"])
+            found = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "found"])
+
+    # each set is worked out once, whatever blocks it is sent to
+    wanted = held.select(F.col("rep").alias("id")).distinct()
+    once = cut(texts.join(wanted, "id").mapInArrow(sets, "id long, found binary").groupBy("id").agg(F.min("found").alias("found")))
+    met = rows.withColumnRenamed("rep", "id").join(once, "id").select("main", "o", "m", "id", "own", "asks", "found")
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["asks", "id"], kind="stable").drop_duplicates(["asks", "id"])
@@ -271,8 +275,7 @@ def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, words: int,
         out = pd.DataFrame({"a": asking["id"].to_numpy()[i], "b": other["id"].to_numpy()[j], "own": other["own"].to_numpy()[j]})
         return out.drop_duplicates(["a", "own"])[["a", "b"]]
 
-    kinds = "main long, o long, m long, id long, own long, asks boolean, found binary"
-    return cut(met.mapInArrow(sets, kinds).groupBy("main", "o", "m").applyInPandas(linked, "a long, b long"))
+    return cut(met.groupBy("main", "o", "m").applyInPandas(linked, "a long, b long"))
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
