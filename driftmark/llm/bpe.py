@@ -22,8 +22,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries a process remembers before it starts afresh.
-MEMO = 400_000
+#: Merged pieces of a generation that a process remembers.
+MEMO = 300_000
 #: Code points that the class table covers.
 COVERED = 0x250
 
@@ -44,15 +44,19 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+    """Packed ids of pieces: those of whole strings always, of others the ones met of late, in two generations."""
+
+    def __init__(self, whole: dict[str, bytes], make):
+        super().__init__(whole)
+        self.whole, self.make, self.old = whole, make, {}
 
     def __missing__(self, piece):
-        if len(self) >= MEMO:
-            self.clear()
-        value = self.make(piece)
+        value = self.old.get(piece) or self.make(piece)
         if len(piece) <= 64:
+            if len(self) >= MEMO + len(self.whole):
+                self.old = dict(self)
+                self.clear()
+                self.update(self.whole)
             self[piece] = value
         return value
 
@@ -82,9 +86,7 @@ class ByteBPE:
         ).findall
         self._outside = re.compile(rf"[^\t-\r -~ -\u{COVERED - 1:04x}]").search
         self._special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        whole = self.whole
-        self._counts = _Memo(lambda p: 1 if p in whole else len(self.merge(p)))
-        self._ids = _Memo(lambda p: struct.pack("<I", whole[p]) if p in whole else self._packed(p))
+        self._ids = _Memo({text: struct.pack("<I", i) for text, i in self.whole.items()}, self._packed)
 
     def _proved(self, vocab: dict[str, int]) -> dict[str, int]:
         """The strings of a vocabulary, as text, whose bytes merge into their one token."""
@@ -123,7 +125,7 @@ class ByteBPE:
             if part in self.added:
                 total += 1
             elif part:
-                total += sum(map(self._counts.__getitem__, self.pretokens(part)))
+                total += sum(map(len, map(self._ids.__getitem__, self.pretokens(part)))) // 4
         return total
 
     def ids(self, text: str | None) -> np.ndarray:

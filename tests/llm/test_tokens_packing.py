@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from driftmark.llm import bpe as module
 from driftmark.llm import packing, tokens
 from driftmark.llm.bpe import ByteBPE, byte_bpe, byte_letters
 
@@ -74,6 +75,17 @@ def test_strings_that_no_merge_reaches_are_not_whole(tmp_path, spark, make_docs)
     assert [r["n_tokens"] for r in rows] == [len(library.encode(t).ids) for t in texts]
 
 
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(module, "MEMO", 3)
+    bpe = ByteBPE(PATH)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(5, 12))) for _ in range(12)]
+    for _ in range(60):
+        t = " ".join(rng.choices(words, k=9))
+        assert bpe.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids and bpe.count(t) == len(bpe.ids(t))
+    assert len(bpe._ids) <= len(bpe.whole) + 3 and len(bpe._ids.old) >= len(bpe.whole)
+
+
 def test_pieces_of_many_lengths_equal_the_library(library):
     rng = random.Random(2)
     bpe = byte_bpe(PATH)
