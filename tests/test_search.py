@@ -183,3 +183,47 @@ def test_a_probe_of_nothing_has_no_rate(spark, split):
     assert np.isnan(row["fraud_score"]) and row["rank"] is None
     rows = probe.against_index(document, references, stats).collect()
     assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5] and rows[0]["fraud_score"] == np.float32(sum(r["fraud"] for r in rows) / 5)
+
+
+@pytest.mark.parametrize("piece_rows", [60])
+def test_exact_compares_few_pairs_and_loses_none(spark, monkeypatch, piece_rows):
+    """Many small pieces and cells, equal vectors that no cut parts, gaps and odd numbers: the k nearest of a plain scan, from far fewer pairs inside a piece."""
+    from driftmark.operators import boxes
+
+    monkeypatch.setattr(boxes, "PIECE_ROWS", piece_rows)
+    monkeypatch.setattr(boxes, "CELL_ROWS", 16)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((600, 14)) * [1, 1, 0.2, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0], 2).astype(np.float32)
+    x[:, 9] = rng.integers(0, 2, 600)
+    x[100:260] = x[100]
+    rows = [(i, i % 2, *map(float, v)) for i, v in enumerate(x)]
+    rows[7] = (7, 0, float("nan"), *rows[7][3:])
+    rows[8] = (8, 0, None, *rows[8][3:])
+    table = spark.createDataFrame(rows, "ref_id long, fraud int, " + ", ".join(f"f{i} float" for i in range(14))).repartition(5).cache()
+    scaled = table.select("ref_id", "fraud", *[F.rint(F.col(f"f{i}") * 100).cast("int").alias(f"v{i}") for i in range(14)]).where("ref_id not in (7, 8)")
+    for dtype, search, named, letters in (
+        (np.float64, lambda q, r: exact.knn_float(q, r, 6, most_queries=50), table, ("f", "g")),
+        (np.float32, lambda q, r: exact.knn_float(q, r, 6, single=True, most_queries=50), table, ("f", "g")),
+        (np.int64, lambda q, r: exact.knn(q, r, 6, most_queries=50), scaled, ("v", "q")),
+    ):
+        queries = named.select(F.col("ref_id").alias("qid"), *[F.col(f"{letters[0]}{i}").alias(f"{letters[1]}{i}") for i in range(14)]).where("qid % 3 = 1 or qid = 8")
+        held = np.rint(x * 100).astype(dtype) if dtype is np.int64 else x.astype(dtype)
+        fine = np.array([i for i in range(600) if i not in (7, 8)])
+        wanted = []
+        for qid in [i for i in range(1, 600, 3) if i not in (7, 8)]:
+            d = np.zeros(len(fine), dtype)
+            for i in range(14):
+                d += (held[qid, i] - held[fine, i]) ** 2
+            wanted += [(qid, int(fine[n]), d[n], rank + 1) for rank, n in enumerate(np.lexsort((fine, d))[:6])]
+        assert _tuples(search(queries, named), "qid", "ref_id", "dist", "rank") == sorted(wanted)
+
+
+def test_exact_leaves_out_far_cells(monkeypatch):
+    from driftmark.operators import boxes
+    from driftmark.operators.blocks import of_integers
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 10_000, (20_000, 4)).astype(float)
+    pairs = []
+    best = boxes.in_piece(v, np.arange(len(v)), np.zeros(len(v), np.int64), v[:200], np.full(200, 2**63 - 1), lambda a, b: pairs.append(len(a) * len(b)) or of_integers(a, b), 6, "long")
+    assert (best.told[0, :, 0] == np.arange(200)).all() and sum(pairs) < 0.2 * 200 * len(v)
