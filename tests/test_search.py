@@ -227,3 +227,43 @@ def test_exact_leaves_out_far_cells(monkeypatch):
     pairs = []
     best = boxes.in_piece(v, np.arange(len(v)), np.zeros(len(v), np.int64), v[:200], np.full(200, 2**63 - 1), lambda a, b: pairs.append(len(a) * len(b)) or of_integers(a, b), 6, "long")
     assert (best.told[0, :, 0] == np.arange(200)).all() and sum(pairs) < 0.2 * 200 * len(v)
+
+
+def test_exact_looks_at_few_bounds(monkeypatch):
+    from driftmark.operators import boxes
+    from driftmark.operators.blocks import of_integers
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 10_000, (8, 14))[rng.integers(0, 8, 6000)] + rng.integers(0, 300, (6000, 14))
+    v, looked, plain = v.astype(float), [], boxes.bounds
+    monkeypatch.setattr(boxes, "bounds", lambda q, low, high: looked.append(len(q) * len(low)) or plain(q, low, high))
+    boxes.in_piece(v, np.arange(6000), np.zeros(6000, np.int64), v[:3000], np.full(3000, 2**63 - 1), of_integers, 6, "long")
+    assert sum(looked) < 3000 * len(boxes.Cuts(v, boxes.CELL_ROWS).leaves) / 2
+
+
+@pytest.mark.parametrize("dtype, kind", [(np.float64, "double"), (np.float32, "float")])
+@pytest.mark.parametrize("upto", [False, True])
+@pytest.mark.parametrize("grain", [1e-3, 0.5, 0])
+def test_products_leave_out_no_near_pair(monkeypatch, dtype, kind, upto, grain):
+    """What is left to be summed in order is little, and gives what summing all in order gives."""
+    from driftmark.operators import blocks
+
+    rng = np.random.default_rng(6)
+    x = rng.random((700, 14)) - 0.2
+    x = (np.round(x / grain) * grain if grain else x * 1e-25).astype(dtype)
+    q, v, at = x[:200], x, np.arange(200)
+    places, limits = rng.permutation(700), rng.integers(0, 700, 200) if upto else None
+    summed, found = [], []
+    monkeypatch.setattr(blocks, "of_pairs", lambda q, v, plain=blocks.of_pairs: summed.append(len(q)) or plain(q, v))
+    for distance in (blocks.in_order, lambda q, v: blocks.in_order(q, v)):
+        best = blocks.Best(200, 6, kind)
+        for a in range(0, 700, 100):
+            blocks.compare(best, at, q, v[a : a + 100], places[a : a + 100], places[a : a + 100], places[a : a + 100], at * 0, limits, distance)
+        found.append(best)
+    assert all((getattr(found[0], n) == getattr(found[1], n)).all() for n in ("dist", "keys", "told"))
+    assert summed and (grain != 1e-3 or sum(summed) < 200 * 700 / 8)
+
+
+def test_long_generated_methods_are_not_used(spark):
+    QUERIES["decision_strict"](spark, "")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
