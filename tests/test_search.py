@@ -264,6 +264,16 @@ def test_products_leave_out_no_near_pair(monkeypatch, dtype, kind, upto, grain):
     assert summed and (grain != 1e-3 or sum(summed) < 200 * 700 / 8)
 
 
+def test_centroids_by_products_are_those_of_ordered_sums(monkeypatch):
+    rng = np.random.default_rng(8)
+    centroids = np.concatenate([rng.integers(0, 4, (60, 14)) * 2500.0, rng.random((60, 14)) * 10_000])
+    x, summed, plain = rng.integers(0, 4, (3000, 14)) * 2500.0, [], ivf._distances
+    want = plain(x, centroids).argmin(1)
+    monkeypatch.setattr(ivf, "_distances", lambda x, c: summed.append(len(x)) or plain(x, c))
+    assert (ivf._nearest(x, centroids) == want).all()
+    assert sum(summed) < 1500
+
+
 def test_long_generated_methods_are_not_used(spark):
     QUERIES["decision_strict"](spark, "")
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
