@@ -218,6 +218,21 @@ def test_exact_compares_few_pairs_and_loses_none(spark, monkeypatch, piece_rows)
         assert _tuples(search(queries, named), "qid", "ref_id", "dist", "rank") == sorted(wanted)
 
 
+def test_own_partition_and_all_come_from_one_search_by_boxes(spark, split, monkeypatch):
+    """Small pieces: both results are those of the two searches, and the recall compares few pairs."""
+    from driftmark.operators import blocks, boxes
+
+    queries, references, stats = split
+    unplaced = references.drop("pos")
+    columns = ("qid", "rank", "ref_id", "fraud", "dist")
+    own, every = (_tuples(f, *columns) for f in (partitioned.knn_primary(queries, unplaced, stats, 6), exact.knn(queries, unplaced, 6)))
+    monkeypatch.setattr(boxes, "PIECE_ROWS", 60)
+    found = partitioned.knn_primary_and_all(queries, unplaced, 6)
+    assert [_tuples(f, *columns) for f in found] == [own, every] and own != every
+    monkeypatch.setattr(blocks, "scan", None)  # all rows of a partition against all its queries
+    assert QUERIES["recall_at_5"](spark, SF).first()["recall"] < 1
+
+
 def test_exact_leaves_out_far_cells(monkeypatch):
     from driftmark.operators import boxes
     from driftmark.operators.blocks import of_integers
