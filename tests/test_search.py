@@ -104,6 +104,34 @@ def test_lsh_probes(split):
     assert got == wanted
 
 
+def test_lsh_holds_no_row_against_queries_that_comes_too_late(spark, split, monkeypatch):
+    """Large buckets, gathered a few rows at a time: the results of all rows, from the first candidates of each bucket alone."""
+    queries, references, _ = split
+    same = references.select("ref_id", "fraud", *[F.round(f"f{i}", 0).cast("float").alias(f"f{i}") for i in range(14)])
+    asked = queries.select("qid", *[F.round(f"g{i}", 0).cast("float").alias(f"g{i}") for i in range(14)])
+    stored = []
+    search = lsh.in_groups
+    monkeypatch.setattr(lsh, "in_groups", lambda probes, rows, *more: stored.append(rows) or search(probes, rows, *more))
+    monkeypatch.setattr(lsh, "HELD_ROWS", 40)
+    found = _tuples(lsh.search(asked, same, 6, candidates=15), "qid", "rank", "ref_id", "dist", "probe")
+    r = same.withColumn("sig", lsh.signature()).orderBy("ref_id").toPandas()
+    buckets = {sig: rows[:15] for sig, rows in r.groupby("sig")}
+    sizes = r.groupby("sig").size()
+    assert sizes.max() > 40  # else there is nothing to leave out
+    wanted = []
+    for q in asked.withColumn("sig", lsh.signature("g")).toPandas().itertuples():
+        n, rows = 0, []
+        for probe in range(lsh.PROBES + 1):
+            sig = q.sig ^ (1 << probe - 1 if probe else 0)
+            if n < 6 and sig in buckets:
+                for place, y in enumerate(buckets[sig][: max(0, 15 - n)].itertuples()):
+                    rows.append((sum((getattr(q, f"g{i}") - getattr(y, f"f{i}")) ** 2 for i in range(14)), probe, place, y.ref_id))
+                n += sizes[sig]
+        wanted += [(q.qid, i + 1, ref, d, probe) for i, (d, probe, _, ref) in enumerate(sorted(rows)[:6])]
+    assert found == sorted(wanted)
+    assert stored[0].groupBy("sig").count().agg(F.max("count")).first()[0] == 15
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([(0, 0, 5), (1, 3, 5), (2, 5, 5), (3, 1, 2), (4, 0, 0)], "qid long, frauds long, total long")
     assert [(round(r["fraud_score"], 4), r["approved"]) for r in score.decide(df).orderBy("qid").collect()] == [(0.0, True), (0.6, False), (1.0, False), (0.5, True), (0.0, True)]
