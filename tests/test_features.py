@@ -91,3 +91,21 @@ def test_configuration(tmp_path):
     assert schema.load_mcc_risk(str(path)) == schema.MCC_RISK
     path.write_text('{"1111": 0.9}')
     assert schema.load_mcc_risk(str(path)) == {"1111": 0.9}
+
+
+def test_vectors_need_no_spelt_merchants(spark):
+    """Numbers of the ten merchants before give the features of their ids, also at equal and null times; no frame of a day is counted anew."""
+    from driftmark.plans import fixtures
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    again = events.where("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + 10_000)
+    timeless = events.where("event_id % 7 = 0").withColumn("event_id", F.col("event_id") + 20_000).withColumn("ts", F.lit(None).cast(dict(events.dtypes)["ts"]))
+    events = events.unionByName(again).unionByName(timeless)
+    rows = fixtures.transactions(events, spelt=False)
+    assert "RangeFrame, -" not in rows._jdf.queryExecution().toString()
+    lean, whole = fixtures.vectors(rows), fixtures.vectors(fixtures.transactions(events))
+    assert lean.dtypes == whole.dtypes and sorted(lean.collect()) == sorted(whole.collect())
+    seen = {(r["user_id"], r["micros"], r["event_id"]) for r in events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id").collect()}
+    counts = {r["tx_id"]: r["tx_count_24h"] for r in rows.collect()}
+    for user, at, event in seen:
+        assert counts[event] == sum(u == user and (m is None if at is None else m is not None and at - fixtures.DAY <= m <= at) for u, m, _ in seen) - 1

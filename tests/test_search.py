@@ -261,6 +261,13 @@ def test_own_partition_and_all_come_from_one_search_by_boxes(spark, split, monke
     assert QUERIES["recall_at_5"](spark, SF).first()["recall"] < 1
 
 
+def test_exact_works_out_once_which_pieces_are_asked_for(split):
+    """What the search leaves to be done compares rows; no bounds are left in it, which were worked out for the counts."""
+    queries, references, _ = split
+    plan = exact.knn(queries, references.drop("pos"), 6)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" in plan and "MapInArrow" not in plan
+
+
 def test_exact_leaves_out_far_cells(monkeypatch):
     from driftmark.operators import boxes
     from driftmark.operators.blocks import of_integers
