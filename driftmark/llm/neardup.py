@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.plans.cluster import attach, cut, ship
+from driftmark.plans.cluster import attach, cut, release, ship
 from driftmark.plans.components import components
 
 BANDS, ROWS = 25, 5
@@ -44,6 +44,8 @@ MARGIN = 0.25
 MEMO = 200_000
 #: Outsiders and members of a block, on average, and the shingles that it looks at at once.
 OUTSIDERS, MEMBERS, COLUMNS = 64, 96, 16_384
+#: Confirmed pairs that a task gives up at once.
+KEPT = 10_000
 
 
 @lru_cache(1)
@@ -161,32 +163,53 @@ def _differing(a: str, b: str):
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union.
 
-    Each pair meets the two texts by their ids, a join that adaptive execution can split
-    where many pairs have one id, and then its two sets by the pair.
+    The many a of a b are dealt into parts of about MEMBERS. Texts, which are smaller than sets, meet them by their ids, a join
+    that adaptive execution can split, and are then dealt by part: that of an a once, that of a b once for each of its parts.
     """
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("__dm_id"))
+    pairs = cut(pairs.select("a", "b"))
+    many = cut(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts")))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    sides = pairs.join(many, "b").select(F.col("a").alias("__dm_id"), "b", part.alias("part"), F.lit(True).alias("asks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    sides = sides.unionByName(many.select(F.col("b").alias("__dm_id"), "b", every.alias("part"), F.lit(False).alias("asks")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__dm_id"), "text").where("__dm_id is not null")
+    met = texts.join(sides, "__dm_id").select("b", "part", "asks", "__dm_id", "text")
+    placed = met.repartition("b", "part").sortWithinPartitions("b", "part", "asks", "__dm_id")
 
     def sets(batches):
+        """Each row's key and set; an id of several rows stands for the least of their sets."""
+        last, least = None, b""
         for batch in batches:
-            found = [shingles(t, words).tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["a", "b", "id", "found"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("__dm_id"), "text").where("__dm_id is not null")
-    met = texts.join(sides, "__dm_id").select("a", "b", "__dm_id", "text")
-    # an id of several rows stands for the least of their sets
-    each = met.mapInArrow(sets, "a long, b long, id long, found binary").groupBy("a", "b")
-    both = each.agg(*(F.min(F.when(F.col("id") == F.col(c), F.col("found"))).alias(n) for c, n in (("a", "x"), ("b", "y"))))
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = shingles(text, words).tobytes()
+                if key == last:
+                    least = min(least, found)
+                    continue
+                if last is not None:
+                    yield last, np.frombuffer(least, np.uint64)
+                last, least = key, found
+        if last is not None:
+            yield last, np.frombuffer(least, np.uint64)
 
     def held(batches):
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x or b"", np.uint64), np.frombuffer(y or b"", np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+        at, y, kept = None, np.empty(0, np.uint64), []
+        for (b, part, asks, a), x in sets(batches):
+            if not asks:
+                at, y = (b, part), x
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True)) if at == (b, part) else 0
+            if common > 0 and 100 * common >= percent * (len(x) + len(y) - common):
+                kept.append((a, b))
+            if len(kept) == KEPT:
+                yield _pairs(kept)
+                kept = []
+        yield _pairs(kept)
 
-    return cut(both.select("a", "b", "x", "y").mapInArrow(held, "a long, b long"))
+    return cut(placed.mapInArrow(held, "a long, b long"))
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -215,20 +238,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ship(docs.sparkSession)
     if (kind := dict(docs.dtypes)["doc_id"]) not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"doc_id must be a whole number, not {kind}")
+    described, told = _grouped(docs, words, percent)
+    release(docs.sparkSession)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return attach(described.select("id", "n_shingles", "key"), told, "key", "copies").select(
+        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
+    )
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What `_described` gives of each row, and for each class its key, component and number of copies."""
     limit = most_differing(percent / 100 - MARGIN)
     described = cut(_described(docs, words))
     named = described.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = cut(named.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")))
     members = _members(classes)
     groups = components(confirm(_best(members, classes, limit), docs, words, percent))
+    release(docs.sparkSession)
     more = _across(members, cut(groups), docs, words, percent)
     if more is not None:
         groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     told = cut(classes.select("key", "rep", "copies").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), "copies"))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return attach(described.select("id", "n_shingles", "key"), told, "key", "copies").select(
-        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
-    )
+    return described, told
 
 
 def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:

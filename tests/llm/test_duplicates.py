@@ -101,6 +101,29 @@ def test_hot_keys_and_rows_without_one(spark, make_docs, monkeypatch):
     assert len(got) == 96 and {got[i][1] for i in range(50)} == {0} and all(got[i] == (0, i, True) for i in range(50, 90)) and {got[i][1] for i in range(90, 95)} == {90} and got[95] == (3, 95, True)
 
 
+def shuffled(spark):
+    """Bytes that the stages so far have written to shuffles."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_confirming_moves_each_text_twice(spark, make_docs, monkeypatch):
+    """Pairs about one document cost no set of their own: their texts are moved by id and by pair, its text once for each part."""
+    monkeypatch.setattr(neardup, "MEMBERS", 16)
+    rng = random.Random(6)
+    base = [f"{rng.getrandbits(20):05x}" for _ in range(4000)]
+    texts = [" ".join([*base[: len(base) - 50 * i], f"copy{i}"]) for i in range(60)]
+    docs, pairs = make_docs(texts), spark.createDataFrame([(i, 0) for i in range(1, 60)], "a long, b long")
+    before = shuffled(spark)
+    got = {(r["a"], r["b"]) for r in neardup.confirm(pairs, docs.unionByName(docs.where("doc_id in (0, 7)")), 5, 80).collect()}
+    sets = [shingle_set(t, 5) for t in texts]
+    wanted = {(i, 0) for i in range(1, 60) if 100 * len(sets[i] & sets[0]) >= 80 * len(sets[i] | sets[0])}
+    assert got == wanted and 0 < len(wanted) < 59
+    assert shuffled(spark) - before < 2.5 * sum(map(len, texts))
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(1)
     for similarity in (0.7, 0.8, 0.9, 0.97):
